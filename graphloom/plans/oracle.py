@@ -212,3 +212,243 @@ FROM (SELECT CAST(n_nationkey * 2 AS BIGINT) AS request_id, '/r' || CAST(n_natio
       UNION ALL
       SELECT CAST(n_nationkey * 2 + 1 AS BIGINT), '/nation' || CAST(n_nationkey AS VARCHAR) FROM nation) r
 JOIN c_mnode n ON n.endpoint = r.route""")
+
+
+# -------------------------------------------------------------------- search
+from graphloom.functions import lexicon as LX  # noqa: E402
+
+PAT = LX.ANALYZER_STANDARD.replace("'", "''")
+STOP = ", ".join("'" + w + "'" for w in LX.STOP_WORDS)
+
+
+def index_ctes(p: str, docs: str, keys: list[str]) -> str:
+    """BM25 index CTEs named {p}_tok/_dl/_tf/_df/_fs over ``docs`` (keys..., field, txt)."""
+    k = ", ".join(keys)
+    return f"""
+{p}_arr AS (SELECT {k}, field, regexp_extract_all(lower(txt), '{PAT}') AS t FROM ({docs})),
+{p}_tok AS (SELECT {k}, field, unnest(t) AS term, unnest(range(len(t))) AS pos FROM {p}_arr),
+{p}_dl AS (SELECT {k}, field, count(*) AS dl FROM {p}_tok GROUP BY {k}, field),
+{p}_tf AS (SELECT {k}, field, term, count(*) AS tf, min(pos) AS first_pos FROM {p}_tok GROUP BY {k}, field, term),
+{p}_df AS (SELECT field, term, count(*) AS df, sum(tf) AS cf FROM {p}_tf GROUP BY field, term),
+{p}_fs AS (SELECT field, count(*) AS n_docs, avg(dl) AS avgdl FROM {p}_dl GROUP BY field)"""
+
+
+def query_ctes(q: str, raw: str) -> str:
+    """{q}_qt (qkey, qpos, tpos, term) from ``raw`` (qkey, words LIST)."""
+    return f"""
+{q}_w AS (SELECT qkey, unnest(words) AS w, unnest(range(len(words))) AS qpos FROM ({raw})),
+{q}_a AS (SELECT qkey, qpos, regexp_extract_all(lower(w), '{PAT}') AS t FROM {q}_w),
+{q}_qt AS (SELECT qkey, qpos, unnest(range(len(t))) AS tpos, unnest(t) AS term FROM {q}_a)"""
+
+
+def score_ctes(s: str, p: str, q: str, keys: list[str], fields: str = "") -> str:
+    """{s}_sc (qkey, keys..., score, matched) BM25 of query terms {q}_qt over index {p}."""
+    k = ", ".join(f"t.{c}" for c in keys)
+    kk = ", ".join(keys)
+    fld = f"AND d.field IN ({fields})" if fields else ""
+    return f"""
+{s}_w AS (
+  SELECT q.qkey, q.term, d.field,
+         ln(1 + (f.n_docs - d.df + CAST(0.5 AS DOUBLE)) / (d.df + CAST(0.5 AS DOUBLE))) AS idf, f.avgdl
+  FROM {q}_qt q JOIN {p}_df d ON d.term = q.term {fld} JOIN {p}_fs f ON f.field = d.field),
+{s}_h AS (
+  SELECT w.qkey, w.term, {k},
+         w.idf * (t.tf / (t.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l.dl / w.avgdl))) AS s
+  FROM {s}_w w JOIN {p}_tf t ON t.field = w.field AND t.term = w.term
+  JOIN {p}_dl l ON l.field = t.field AND {" AND ".join(f"l.{c} IS NOT DISTINCT FROM t.{c}" for c in keys)}),
+{s}_sc AS (SELECT qkey, {kk}, sum(s) AS score, count(DISTINCT term) AS matched FROM {s}_h GROUP BY qkey, {kk})"""
+
+
+def top_k(src: str, keys: list[str], k: int = 5) -> str:
+    order = ", ".join(f"{c} ASC NULLS FIRST" for c in keys)
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY round(score, 9) DESC, {order}) AS rank
+   FROM {src}) WHERE rank <= {k})"""
+
+
+DOCS = "SELECT doc_id, 'text' AS field, text AS txt FROM documents"
+
+KEY_TERMS_CTES = f"""
+kt_src AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS question_id, text AS question FROM conversations WHERE role = 'user'),
+kt_w AS (
+  SELECT question_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
+  FROM (SELECT question_id, regexp_split_to_array(replace(replace(lower(question), '?', ''), ',', ''), '\\s+') AS ws FROM kt_src)),
+kt_f AS (SELECT question_id, w, min(i) AS i FROM kt_w WHERE length(w) > 2 AND w NOT IN ({STOP}) GROUP BY question_id, w),
+kt AS (SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY i) AS BIGINT) AS term_pos, w AS term FROM kt_f
+       QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY i) <= 3)"""
+
+
+def _plain(key: str, ctes: str, select: str) -> None:
+    ORACLES[key] = "WITH " + ctes.strip().rstrip(",") + "\n" + select
+
+
+_plain("analyze_text", "x AS (SELECT doc_id, regexp_extract_all(lower(text), '" + PAT + "') AS t FROM documents)",
+       "SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM x")
+_plain("postings", index_ctes("d", DOCS, ["doc_id"]),
+       "SELECT doc_id, term, tf, CAST(first_pos AS BIGINT) AS first_pos FROM d_tf")
+_plain("term_stats", index_ctes("d", DOCS, ["doc_id"]),
+       "SELECT x.term, x.df, CAST(x.cf AS BIGINT) AS cf, f.n_docs, round(f.avgdl, 6) AS avgdl FROM d_df x JOIN d_fs f USING (field)")
+
+_conv_q = KEY_TERMS_CTES + ",\nkq AS (SELECT question_id AS qkey, list(term ORDER BY term_pos) AS words FROM kt GROUP BY question_id)"
+
+_plain("search_any", _conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + "," + query_ctes("q", "SELECT * FROM kq")
+       + "," + score_ctes("s", "d", "q", ["doc_id"]),
+       f"SELECT qkey AS query_id, rank, doc_id, round(score, 6) AS score FROM {top_k('s_sc', ['doc_id'])}")
+
+_bool_all = (_conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + "," + query_ctes("q", "SELECT * FROM kq")
+             + "," + score_ctes("s", "d", "q", ["doc_id"])
+             + ",\nneed AS (SELECT qkey, count(DISTINCT term) AS n FROM q_qt GROUP BY qkey),"
+             + "\nall_sc AS (SELECT s.* FROM s_sc s JOIN need USING (qkey) WHERE s.matched = need.n),"
+             + "\nnq AS (SELECT qkey, list_slice(words, 1, 1) AS must, list_slice(words, 2, len(words)) AS must_not FROM kq WHERE len(words) >= 2),"
+             + query_ctes("m", "SELECT qkey, must AS words FROM nq") + ","
+             + query_ctes("x", "SELECT qkey, must_not AS words FROM nq") + ","
+             + score_ctes("ms", "d", "m", ["doc_id"])
+             + ",\nexcl AS (SELECT DISTINCT x.qkey, t.doc_id FROM x_qt x JOIN d_tf t ON t.term = x.term),"
+             + "\nnot_sc AS (SELECT m.* FROM ms_sc m WHERE NOT EXISTS (SELECT 1 FROM excl e WHERE e.qkey = m.qkey AND e.doc_id = m.doc_id))")
+_plain("search_bool", _bool_all,
+       f"""SELECT qkey AS query_id, 'all' AS mode, rank, doc_id, round(score, 6) AS score FROM {top_k('all_sc', ['doc_id'])}
+UNION ALL
+SELECT qkey AS query_id, 'not' AS mode, rank, doc_id, round(score, 6) AS score FROM {top_k('not_sc', ['doc_id'])}""")
+
+_phrase = (index_ctes("d", DOCS, ["doc_id"]) + ","
+           + query_ctes("q", "SELECT item_id AS qkey, string_split(text, ' ')[1:3] AS words FROM benchmark")
+           + f""",
+q_off AS (SELECT qkey, term, CAST(row_number() OVER (PARTITION BY qkey ORDER BY qpos, tpos) AS BIGINT) - 1 AS off FROM q_qt),
+q_n AS (SELECT qkey, count(*) AS n FROM q_off GROUP BY qkey),
+starts AS (SELECT o.qkey, t.field, t.doc_id, t.pos - o.off AS st, o.off FROM q_off o JOIN d_tok t ON t.term = o.term),
+m AS (SELECT s.qkey, s.field, s.doc_id, s.st FROM starts s GROUP BY s.qkey, s.field, s.doc_id, s.st
+      HAVING count(DISTINCT s.off) = (SELECT n FROM q_n WHERE q_n.qkey = s.qkey)),
+pf AS (SELECT qkey, field, doc_id, count(*) AS pf FROM m GROUP BY qkey, field, doc_id),
+isum AS (SELECT o.qkey, d.field, sum(ln(1 + (f.n_docs - d.df + CAST(0.5 AS DOUBLE)) / (d.df + CAST(0.5 AS DOUBLE)))) AS idf, any_value(f.avgdl) AS avgdl
+         FROM q_off o JOIN d_df d ON d.term = o.term JOIN d_fs f ON f.field = d.field GROUP BY o.qkey, d.field),
+ph_sc AS (SELECT p.qkey, p.doc_id, sum(i.idf * (p.pf / (p.pf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l.dl / i.avgdl)))) AS score
+          FROM pf p JOIN isum i ON i.qkey = p.qkey AND i.field = p.field JOIN d_dl l ON l.field = p.field AND l.doc_id = p.doc_id
+          GROUP BY p.qkey, p.doc_id)""")
+_plain("search_phrase", _phrase,
+       f"SELECT CAST(qkey AS BIGINT) AS query_id, rank, doc_id, round(score, 6) AS score FROM {top_k('ph_sc', ['doc_id'])}")
+
+_prefix = (_conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + """,
+pq AS (SELECT qkey, substring(lower(words[1]), 1, 4) AS prefix FROM kq WHERE len(words) > 0),
+pre_sc AS (SELECT DISTINCT p.qkey, t.doc_id, CAST(1.0 AS DOUBLE) AS score FROM pq p JOIN d_tf t ON starts_with(t.term, p.prefix))""")
+_plain("search_prefix", _prefix,
+       f"SELECT qkey AS query_id, rank, doc_id, score FROM {top_k('pre_sc', ['doc_id'])}")
+
+_fuzzy = (_conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + """,
+fq AS (SELECT qkey, lower(words[1]) AS word FROM kq WHERE len(words) > 0),
+nac AS (SELECT c, row_number() OVER (ORDER BY c) AS r
+        FROM (SELECT DISTINCT unnest(string_split(term, '')) AS c FROM d_df) WHERE unicode(c) > 127),
+tr AS (SELECT coalesce(string_agg(c, '' ORDER BY r), '') AS f,
+              coalesce(string_agg(chr(CAST(64 + r AS INTEGER)), '' ORDER BY r), '') AS t FROM nac WHERE r <= 26),
+fterm AS (SELECT f.qkey, d.field, d.term, d.df FROM fq f JOIN d_df d ON abs(length(d.term) - length(f.word)) <= 2
+          CROSS JOIN tr
+          WHERE levenshtein(translate(f.word, tr.f, tr.t), translate(d.term, tr.f, tr.t)) <= 2),
+fw AS (SELECT x.qkey, x.field, x.term, ln(1 + (s.n_docs - x.df + CAST(0.5 AS DOUBLE)) / (x.df + CAST(0.5 AS DOUBLE))) AS idf, s.avgdl
+       FROM fterm x JOIN d_fs s ON s.field = x.field),
+fz_sc AS (SELECT w.qkey, t.doc_id,
+                 sum(w.idf * (t.tf / (t.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l.dl / w.avgdl)))) AS score
+          FROM fw w JOIN d_tf t ON t.field = w.field AND t.term = w.term JOIN d_dl l ON l.field = t.field AND l.doc_id = t.doc_id
+          GROUP BY w.qkey, t.doc_id)""")
+_plain("search_fuzzy", _fuzzy,
+       f"SELECT qkey AS query_id, rank, doc_id, round(score, 6) AS score FROM {top_k('fz_sc', ['doc_id'])}")
+
+# code index over the corpus method nodes
+CODE_DOCS = ("SELECT name, class_name, 'source_code' AS field, source_code AS txt FROM c_mnode WHERE source_code IS NOT NULL "
+             "UNION ALL SELECT name, class_name, 'name' AS field, name AS txt FROM c_mnode")
+_code_idx = index_ctes("ci", CODE_DOCS, ["name", "class_name"])
+
+ORACLES["search_code"] = with_corpus(
+    _code_idx.strip() + "," + query_ctes("q", "SELECT p_partkey AS qkey, string_split(p_name, ' ') AS words FROM part")
+    + "," + score_ctes("s", "ci", "q", ["name", "class_name"]) + f"""
+SELECT CAST(t.qkey AS BIGINT) AS query_id, t.rank, t.name AS method, t.class_name AS class, n.http_method, n.endpoint,
+       round(t.score, 6) AS score
+FROM {top_k('s_sc', ['name', 'class_name'])} t
+LEFT JOIN c_mnode n ON n.name = t.name AND n.class_name IS NOT DISTINCT FROM t.class_name""")
+
+ORACLES["search_field"] = with_corpus(
+    _code_idx.strip() + "," + query_ctes("q", "SELECT p_partkey AS qkey, ['op' || CAST(p_size AS VARCHAR)] AS words FROM part")
+    + "," + score_ctes("s", "ci", "q", ["name", "class_name"], fields="'name'") + f"""
+SELECT CAST(qkey AS BIGINT) AS query_id, rank, name AS method, class_name AS class, round(score, 6) AS score
+FROM {top_k('s_sc', ['name', 'class_name'])}""")
+
+# ------------------------------------------------------------------- context
+ORACLES["key_terms"] = "WITH " + KEY_TERMS_CTES.strip() + "\nSELECT question_id, term_pos, term FROM kt"
+
+_Q_ALL = KEY_TERMS_CTES.replace(
+    "kt_src AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS question_id, text AS question FROM conversations WHERE role = 'user')",
+    "kt_src AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS question_id, text AS question FROM conversations WHERE role = 'user'\n"
+    "  UNION ALL SELECT CAST(min(p_partkey) + 1000000000 AS BIGINT), 'Where is the ' || p_name || ' handled?' FROM part GROUP BY p_name)",
+)
+_hits_ctes = (
+    _Q_ALL.strip() + "," + _code_idx + ","
+    + query_ctes("q", "SELECT DISTINCT term AS qkey, [term] AS words FROM kt")
+    + "," + score_ctes("s", "ci", "q", ["name", "class_name"]) + f""",
+top_t AS {top_k('s_sc', ['name', 'class_name'])},
+hits AS (
+  SELECT k.question_id, k.term_pos, k.term, t.rank, t.name AS method, t.class_name AS class, n.http_method, n.endpoint,
+         round(t.score, 6) AS score, t.score AS score_raw
+  FROM kt k JOIN top_t t ON t.qkey = k.term
+  LEFT JOIN c_mnode n ON n.name = t.name AND n.class_name IS NOT DISTINCT FROM t.class_name),
+firsts AS (SELECT * FROM hits WHERE method IS NOT NULL AND method <> ''
+           QUALIFY row_number() OVER (PARTITION BY question_id, method ORDER BY term_pos, rank) = 1),
+qm AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY term_pos, rank) AS BIGINT) AS ord FROM firsts
+       QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY term_pos, rank) <= 15),
+""" + trails_sql("c_calls_settled").strip() + """,
+qc AS (SELECT m.question_id, m.ord, m.method, CAST(t.hop AS BIGINT) AS hop, t.callee, t.class, t.endpoint
+       FROM qm m JOIN c_trail t ON t.seed = m.method WHERE m.ord <= 5)"""
+)
+ORACLES["question_hits"] = with_corpus(
+    _hits_ctes + "\nSELECT question_id, term_pos, term, rank, method, class, http_method, endpoint, score FROM hits")
+ORACLES["question_methods"] = with_corpus(
+    _hits_ctes + "\nSELECT question_id, ord, method, class, http_method, endpoint, score FROM qm")
+ORACLES["question_chains"] = with_corpus(
+    _hits_ctes + "\nSELECT question_id, ord, method, hop, callee, class, endpoint FROM qc")
+
+
+def _repr_list(col: str) -> str:
+    one = ("CASE WHEN contains(x, '''') AND NOT contains(x, '\"') THEN '\"' || replace(x, '\\', '\\\\') || '\"' "
+           "ELSE '''' || replace(replace(x, '\\', '\\\\'), '''', '\\''') || '''' END")
+    return f"('[' || array_to_string(list_transform({col}, lambda x: {one}), ', ') || ']')"
+
+
+_RULE = "=" * 60
+_ctx = _hits_ctes + f""",
+lines AS (
+  SELECT question_id, ord, hop,
+         '    → ' || coalesce(nullif(callee, ''), '?') || '  [' || coalesce(nullif(class, ''), '?') || ']'
+         || CASE WHEN coalesce(endpoint, '') <> '' THEN '  →  ' || endpoint ELSE '' END AS line
+  FROM qc),
+s2 AS (
+  SELECT m.question_id, m.ord,
+         chr(10) || chr(10) || m.method || ' calls:' || chr(10)
+         || coalesce((SELECT string_agg(l.line, chr(10) ORDER BY l.hop, l.line) FROM lines l
+                      WHERE l.question_id = m.question_id AND l.ord = m.ord), '{LX.MSG_NO_CALLS}') AS b
+  FROM qm m WHERE m.ord <= 5),
+s1 AS (
+  SELECT question_id, ord,
+         chr(10) || chr(10) || '[' || CAST(ord AS VARCHAR) || '] ' || method
+         || chr(10) || '    Class    : ' || coalesce(nullif(class, ''), 'unknown')
+         || CASE WHEN coalesce(http_method, '') <> '' AND coalesce(endpoint, '') <> ''
+                 THEN chr(10) || '    Endpoint : ' || http_method || ' ' || endpoint
+                 WHEN coalesce(endpoint, '') <> '' THEN chr(10) || '    Endpoint : ' || endpoint ELSE '' END
+         || chr(10) || '    Score    : ' || printf('%.3f', coalesce(score_raw, 0.0)) AS b
+  FROM qm),
+qterms AS (SELECT s.question_id, s.question, coalesce((SELECT list(term ORDER BY term_pos) FROM kt WHERE kt.question_id = s.question_id), []::VARCHAR[]) AS terms
+           FROM kt_src s),
+ctx AS (
+  SELECT q.question_id,
+         CASE WHEN len(q.terms) = 0 THEN 'no_terms'
+              WHEN NOT EXISTS (SELECT 1 FROM qm WHERE qm.question_id = q.question_id) THEN 'no_hits' ELSE 'ok' END AS status,
+         {_repr_list('q.terms')} AS terms_repr, q.question
+  FROM qterms q),
+out AS (
+  SELECT c.question_id, c.status,
+         CASE c.status WHEN 'no_terms' THEN '{LX.MSG_NO_TERMS.replace("'", "''")}'
+                       WHEN 'no_hits' THEN '{LX.MSG_NO_HITS_PREFIX}' || c.terms_repr || '{LX.MSG_NO_HITS_SUFFIX}' END AS message,
+         'QUESTION: ' || c.question || chr(10) || 'KEY TERMS EXTRACTED: ' || c.terms_repr || chr(10) || '{_RULE}'
+         || chr(10) || chr(10) || '── SECTION 1: MATCHING METHODS ──'
+         || coalesce((SELECT string_agg(b, '' ORDER BY ord) FROM s1 WHERE s1.question_id = c.question_id), '')
+         || chr(10) || chr(10) || '── SECTION 2: CALL CHAINS ──'
+         || coalesce((SELECT string_agg(b, '' ORDER BY ord) FROM s2 WHERE s2.question_id = c.question_id), '')
+         || chr(10) || chr(10) || '{_RULE}' || chr(10) || '{LX.MSG_NOTE}' AS body
+  FROM ctx c)"""
+ORACLES["question_context"] = with_corpus(_ctx + "\nSELECT question_id, status, coalesce(message, body) AS context FROM out")
+ORACLES["question_status"] = with_corpus(_ctx + "\nSELECT question_id, status, message FROM out")

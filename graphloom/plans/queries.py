@@ -198,3 +198,195 @@ def routes(spark, sf_dir) -> DataFrame:
 @register("find_by_endpoint")
 def q_find_by_endpoint(spark, sf_dir):
     return TR.find_by_endpoint(P.graph(spark, sf_dir)["method_nodes"], routes(spark, sf_dir))
+
+
+# -------------------------------------------------------------------- search
+from graphloom.operators import context as CX  # noqa: E402
+from graphloom.operators import search as S  # noqa: E402
+from graphloom.functions import text as TX  # noqa: E402
+
+
+def doc_index(spark, sf_dir) -> S.Index:
+    docs = _read(spark, sf_dir, "documents")
+    return P._memo(spark, sf_dir, "doc_index", lambda: S.build_index(docs, ["doc_id"], {"text": F.col("text")}))
+
+
+def code_index(spark, sf_dir) -> S.Index:
+    return P._memo(spark, sf_dir, "code_index", lambda: S.method_index(P.graph(spark, sf_dir)["method_nodes"]))
+
+
+def conv_questions(spark, sf_dir) -> DataFrame:
+    """User turns of ``conversations`` as questions; id = conv_id * 1000 + turn."""
+    conv = _read(spark, sf_dir, "conversations")
+    return conv.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("question_id"),
+        F.col("text").alias("question"),
+    )
+
+
+def part_questions(spark, sf_dir) -> DataFrame:
+    """One question per distinct part name (the name appears in the corpus sources)."""
+    part = _read(spark, sf_dir, "part")
+    return part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(
+        (F.col("k") + F.lit(1_000_000_000)).cast("bigint").alias("question_id"),
+        F.concat(F.lit("Where is the "), F.col("p_name"), F.lit(" handled?")).alias("question"),
+    )
+
+
+def all_questions(spark, sf_dir) -> DataFrame:
+    return conv_questions(spark, sf_dir).unionByName(part_questions(spark, sf_dir))
+
+
+def conv_terms(spark, sf_dir) -> DataFrame:
+    return CX.key_terms(conv_questions(spark, sf_dir))
+
+
+def _doc_out(df: DataFrame) -> DataFrame:
+    return df.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", "doc_id", "score")
+
+
+@register("analyze_text")
+def q_analyze_text(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    terms = TX.analyze(F.col("text"))
+    return docs.select(
+        "doc_id",
+        F.size(terms).cast("bigint").alias("n_terms"),
+        F.size(F.array_distinct(terms)).cast("bigint").alias("n_distinct"),
+    )
+
+
+@register("postings")
+def q_postings(spark, sf_dir):
+    return doc_index(spark, sf_dir).postings.select(
+        "doc_id", "term", F.col("tf").cast("bigint").alias("tf"), F.col("positions")[0].cast("bigint").alias("first_pos")
+    )
+
+
+@register("term_stats")
+def q_term_stats(spark, sf_dir):
+    idx = doc_index(spark, sf_dir)
+    cf = idx.postings.groupBy("field", "term").agg(F.sum("tf").cast("bigint").alias("cf"))
+    return idx.term_df.join(cf, ["field", "term"]).join(idx.field_stats, "field").select(
+        "term", F.col("df").cast("bigint").alias("df"), "cf", F.col("n_docs").cast("bigint").alias("n_docs"),
+        F.round("avgdl", 6).alias("avgdl"),
+    )
+
+
+def _with_props(res: DataFrame, method_nodes: DataFrame) -> DataFrame:
+    props = method_nodes.select(F.col("name").alias("_n"), F.col("class_name").alias("_c"), "http_method", "endpoint")
+    return res.join(props, (F.col("name") == F.col("_n")) & F.col("class_name").eqNullSafe(F.col("_c")), "left")
+
+
+@register("search_code")
+def q_search_code(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    queries = part.select(F.col("p_partkey").alias("query_id"), F.split("p_name", " ").alias("terms"))
+    res = S.search(code_index(spark, sf_dir), queries)
+    return _with_props(res, P.graph(spark, sf_dir)["method_nodes"]).select(
+        "query_id", "rank", F.col("name").alias("method"), F.col("class_name").alias("class"),
+        "http_method", "endpoint", "score",
+    )
+
+
+@register("search_any")
+def q_search_any(spark, sf_dir):
+    q = conv_terms(spark, sf_dir).select(F.col("question_id").alias("query_id"), "terms")
+    return _doc_out(S.search(doc_index(spark, sf_dir), q))
+
+
+@register("search_bool")
+def q_search_bool(spark, sf_dir):
+    idx = doc_index(spark, sf_dir)
+    q = conv_terms(spark, sf_dir).select(F.col("question_id").alias("query_id"), "terms")
+    all_of = _doc_out(S.search(idx, q, mode="all")).withColumn("mode", F.lit("all"))
+    nq = q.filter(F.size("terms") >= 2).select(
+        "query_id", F.slice("terms", 1, 1).alias("must"), F.slice("terms", 2, 2).alias("must_not")
+    )
+    none_of = _doc_out(S.search_not(idx, nq)).withColumn("mode", F.lit("not"))
+    return all_of.unionByName(none_of).select("query_id", "mode", "rank", "doc_id", "score")
+
+
+@register("search_phrase")
+def q_search_phrase(spark, sf_dir):
+    bench = _read(spark, sf_dir, "benchmark")
+    q = bench.select(F.col("item_id").alias("query_id"), F.slice(F.split("text", " "), 1, 3).alias("terms"))
+    return _doc_out(S.search_phrase(doc_index(spark, sf_dir), q))
+
+
+@register("search_prefix")
+def q_search_prefix(spark, sf_dir):
+    q = conv_terms(spark, sf_dir).filter(F.size("terms") > 0).select(
+        F.col("question_id").alias("query_id"), F.substring(F.col("terms")[0], 1, 4).alias("prefix")
+    )
+    return _doc_out(S.search_prefix(doc_index(spark, sf_dir), q))
+
+
+@register("search_fuzzy")
+def q_search_fuzzy(spark, sf_dir):
+    q = conv_terms(spark, sf_dir).filter(F.size("terms") > 0).select(
+        F.col("question_id").alias("query_id"), F.col("terms")[0].alias("word")
+    )
+    return _doc_out(S.search_fuzzy(doc_index(spark, sf_dir), q))
+
+
+@register("search_field")
+def q_search_field(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    queries = part.select(
+        F.col("p_partkey").alias("query_id"),
+        F.array(F.concat(F.lit("op"), F.col("p_size").cast("string"))).alias("terms"),
+    )
+    res = S.search(code_index(spark, sf_dir), queries, fields=["name"])
+    return res.select("query_id", "rank", F.col("name").alias("method"), F.col("class_name").alias("class"), "score")
+
+
+# ------------------------------------------------------------------- context
+def _context(spark, sf_dir):
+    def build():
+        g = P.graph(spark, sf_dir)
+        return CX.question_context(
+            all_questions(spark, sf_dir), code_index(spark, sf_dir), g["method_nodes"], P.settled_calls(spark, sf_dir)
+        )
+
+    return P._memo(spark, sf_dir, "context", build)
+
+
+def _hits(spark, sf_dir):
+    return CX.question_hits(
+        CX.key_terms(all_questions(spark, sf_dir)), code_index(spark, sf_dir), P.graph(spark, sf_dir)["method_nodes"]
+    )
+
+
+@register("key_terms")
+def q_key_terms(spark, sf_dir):
+    return conv_terms(spark, sf_dir).select(
+        "question_id", F.posexplode("terms").alias("term_pos", "term")
+    ).select("question_id", (F.col("term_pos") + 1).cast("bigint").alias("term_pos"), "term")
+
+
+@register("question_hits")
+def q_question_hits(spark, sf_dir):
+    return _hits(spark, sf_dir).drop("score_raw")
+
+
+@register("question_methods")
+def q_question_methods(spark, sf_dir):
+    return CX.question_methods(_hits(spark, sf_dir)).drop("score_raw")
+
+
+@register("question_chains")
+def q_question_chains(spark, sf_dir):
+    g = P.graph(spark, sf_dir)
+    methods = CX.question_methods(_hits(spark, sf_dir))
+    return CX.question_chains(methods, P.settled_calls(spark, sf_dir), g["method_nodes"])
+
+
+@register("question_context")
+def q_question_context(spark, sf_dir):
+    return _context(spark, sf_dir)[0]
+
+
+@register("question_status")
+def q_question_status(spark, sf_dir):
+    return _context(spark, sf_dir)[1]
