@@ -452,3 +452,92 @@ out AS (
   FROM ctx c)"""
 ORACLES["question_context"] = with_corpus(_ctx + "\nSELECT question_id, status, coalesce(message, body) AS context FROM out")
 ORACLES["question_status"] = with_corpus(_ctx + "\nSELECT question_id, status, message FROM out")
+
+
+# ------------------------------------------------------------ sources / sinks
+ORACLES["decode_text"] = (
+    "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(65533) || chr(10) AS text "
+    "FROM documents")
+
+_URL = r"^[a-z]+://[^/]+(/[^?#]*)"
+ORACLES["path_parts"] = f"""
+WITH x AS (SELECT page_id, regexp_extract(url, '{_URL}', 1) AS path FROM pages),
+y AS (SELECT page_id, path, string_split(path, '/')[-1] AS name FROM x)
+SELECT page_id, path, name, regexp_replace(name, '^(.+)\\.[^.]+$', '\\1') AS stem FROM y"""
+
+ORACLES["read_files"] = corpus_select("""
+, r AS (
+  SELECT CAST(s_suppkey * 2 AS BIGINT) AS request_id,
+         '/repo/src/pkg' || CAST(s_nationkey AS VARCHAR) || '/Supplier' || CAST(s_suppkey AS VARCHAR) || '.java' AS file_path
+  FROM supplier
+  UNION ALL
+  SELECT CAST(s_suppkey * 2 + 1 AS BIGINT),
+         '/repo/src/pkg' || CAST((s_nationkey + 1) % 25 AS VARCHAR) || '/Supplier' || CAST(s_suppkey AS VARCHAR) || '.java'
+  FROM supplier)
+SELECT r.request_id, r.file_path, CASE WHEN c.path IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+       coalesce(c.content, 'ERROR: File not found: ' || r.file_path) AS content
+FROM r LEFT JOIN c_content c ON c.path = r.file_path""".replace("\n, r AS", ",\nr AS", 1)).replace(
+    "WITH " + CORPUS_CTES.strip() + "\n,", "WITH " + CORPUS_CTES.strip() + ",")
+
+_ROOTS = ["/repo/src", "/repo/en", "/repo/de"]
+_INSIDE = " OR ".join(f"starts_with(target, '{r}')" for r in _ROOTS)
+_BLOCKED = ", ".join(f"'{s}'" for s in LX.BLOCKED_SUFFIXES)
+POLICY_CTES = f"""
+w_src AS (
+  SELECT CAST(e.event_id AS BIGINT) AS seq, e.user_id, e.event_type, e.props,
+         regexp_extract(p.url, '{_URL}', 1) AS url_path, s.s_nationkey
+  FROM events e LEFT JOIN pages p ON p.page_id = e.user_id LEFT JOIN supplier s ON s.s_suppkey = e.user_id),
+w AS (
+  SELECT seq,
+    CASE event_type
+      WHEN 'view' THEN coalesce('/repo/src/pkg' || CAST(s_nationkey AS VARCHAR) || '/Supplier' || CAST(user_id AS VARCHAR) || '.java',
+                                '/repo/src/new/User' || CAST(user_id AS VARCHAR) || '.java')
+      WHEN 'signup' THEN '/repo' || coalesce(url_path, '/misc') || '/.env'
+      WHEN 'click' THEN '/repo' || coalesce(url_path, '/misc') || '/../.git/config'
+      WHEN 'error' THEN '/repo/./' || coalesce(url_path, '/misc') || '/notes.txt'
+      ELSE 'logs/' || coalesce(url_path, '/misc') || '/key.PEM' END AS file_path,
+    CASE WHEN event_type = 'view'
+      THEN 'public class Supplier' || CAST(user_id AS VARCHAR) || ' {{' || chr(10) || '    public void ping() {{' || chr(10)
+           || '        log(1);' || chr(10) || '    }}' || chr(10) || '}}' || chr(10)
+      ELSE props END AS content
+  FROM w_src),
+w_n AS (
+  SELECT seq, file_path, content,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      CASE WHEN starts_with(file_path, '/') THEN file_path ELSE '/' || file_path END,
+      '/+', '/', 'g'), '/\\./', '/', 'g'), '/\\./', '/', 'g'), '/\\.$', ''), '/[^/]+/\\.\\./', '/', 'g'), '/[^/]+/\\.\\.$', '') AS t0
+  FROM w),
+w_t AS (SELECT seq, file_path, content, CASE WHEN t0 = '' THEN '/' ELSE t0 END AS target FROM w_n),
+w_f AS (
+  SELECT *, string_split(target, '/')[-1] AS name,
+         lower(regexp_extract(string_split(target, '/')[-1], '^.+(\\.[^.]+)$', 1)) AS suffix,
+         ({_INSIDE}) AS inside
+  FROM w_t),
+pol AS (
+  SELECT seq, file_path, target, content, name, suffix,
+    CASE WHEN NOT inside THEN 'Path ' || target || ' is outside allowed roots.'
+         WHEN suffix IN ({_BLOCKED}) OR name = '.env' THEN 'Writing to ' || name || ' is blocked.'
+         WHEN list_contains(string_split(target, '/'), '.git') THEN 'Writing inside .git is blocked.' END AS reason
+  FROM w_f),
+res AS (
+  SELECT seq, file_path, target, content, CASE WHEN reason IS NULL THEN 'success' ELSE 'error' END AS status, reason,
+    CASE WHEN reason IS NULL THEN CAST(strlen(content) AS BIGINT) END AS bytes_written,
+    CASE WHEN reason IS NULL AND suffix = '.java' THEN 'Graph is stale for ' || name || '{LX.MSG_STALE}' END AS warning
+  FROM pol)"""
+
+ORACLES["normalize_path"] = "WITH " + POLICY_CTES.strip() + "\nSELECT seq, file_path, target FROM res"
+ORACLES["write_policy"] = "WITH " + POLICY_CTES.strip() + "\nSELECT seq, target, status, reason FROM res"
+ORACLES["write_result"] = ("WITH " + POLICY_CTES.strip()
+                           + "\nSELECT seq, status, CASE WHEN status = 'success' THEN target END AS path, bytes_written, warning, reason FROM res")
+ORACLES["apply_writes"] = with_corpus(POLICY_CTES.strip() + """,
+acc AS (SELECT target AS path, content FROM res WHERE status = 'success'
+        QUALIFY row_number() OVER (PARTITION BY target ORDER BY seq DESC) = 1)
+SELECT c.path, 'original' AS origin, c.content FROM c_content c WHERE c.path NOT IN (SELECT path FROM acc)
+UNION ALL
+SELECT a.path, CASE WHEN c.content IS NOT NULL AND c.content = a.content THEN 'original' ELSE 'write' END, a.content
+FROM acc a LEFT JOIN c_content c ON c.path = a.path""")
+ORACLES["stale_nodes"] = with_corpus(POLICY_CTES.strip() + """,
+jw AS (SELECT DISTINCT target FROM res WHERE status = 'success' AND lower(target) LIKE '%.java')
+SELECT DISTINCT m.name, m.class_name FROM c_method m JOIN jw ON jw.target = m.path WHERE m.name <> 'ping'""")
+ORACLES["upsert_graph"] = ORACLES["build_graph"]
+ORACLES["stream_ingest"] = ORACLES["build_graph"]

@@ -390,3 +390,149 @@ def q_question_context(spark, sf_dir):
 @register("question_status")
 def q_question_status(spark, sf_dir):
     return _context(spark, sf_dir)[1]
+
+
+# ------------------------------------------------------------ sources / sinks
+from graphloom.operators import policy as PO  # noqa: E402
+from graphloom.session import scratch_path  # noqa: E402
+from graphloom.sources import files as SRC  # noqa: E402
+from graphloom.streaming import ingest as ST  # noqa: E402
+
+URL_PATH = r"^[a-z]+://[^/]+(/[^?#]*)"
+WRITE_ROOTS = "/repo/src:/repo/en ; /repo/de"
+
+
+@register("scan_files")
+def q_scan_files(spark, sf_dir):
+    """A1 over the data folder itself (the given tables, as files)."""
+    return SRC.scan_files(spark, sf_dir, glob="*.parquet", with_content=False).select("name", "length")
+
+
+@register("decode_text")
+def q_decode_text(spark, sf_dir):
+    """A2: documents as UTF-8 bytes with an invalid byte and a CRLF appended, decoded back."""
+    docs = _read(spark, sf_dir, "documents")
+    raw = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF0D0A")))
+    return docs.select("doc_id", TX.decode_text(raw).alias("text"))
+
+
+@register("path_parts")
+def q_path_parts(spark, sf_dir):
+    """A3 over the URL paths of ``pages``."""
+    pages = _read(spark, sf_dir, "pages")
+    return SRC.path_parts(pages.select("page_id", F.regexp_extract("url", URL_PATH, 1).alias("path")))
+
+
+def read_requests(spark, sf_dir) -> DataFrame:
+    """Two fetches per supplier: its corpus file, and the same name under the next package."""
+    sup = _read(spark, sf_dir, "supplier")
+    base = F.concat(F.lit("/repo/src/pkg"), F.col("s_nationkey").cast("string"))
+    other = F.concat(F.lit("/repo/src/pkg"), ((F.col("s_nationkey") + 1) % 25).cast("string"))
+    name = F.concat(F.lit("/Supplier"), F.col("s_suppkey").cast("string"), F.lit(".java"))
+    return sup.select(
+        F.explode(
+            F.array(
+                F.struct((F.col("s_suppkey") * 2).cast("bigint").alias("request_id"), F.concat(base, name).alias("file_path")),
+                F.struct((F.col("s_suppkey") * 2 + 1).cast("bigint").alias("request_id"), F.concat(other, name).alias("file_path")),
+            )
+        ).alias("r")
+    ).select("r.*")
+
+
+@register("read_files")
+def q_read_files(spark, sf_dir):
+    return PO.read_files(P.files(spark, sf_dir), read_requests(spark, sf_dir))
+
+
+def proposed_writes(spark, sf_dir) -> DataFrame:
+    """One proposed write per event (seq = event_id); the target depends on the event type."""
+    ev = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    pages = _read(spark, sf_dir, "pages").select(
+        F.col("page_id"), F.regexp_extract("url", URL_PATH, 1).alias("url_path")
+    )
+    sup = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    j = ev.join(pages, ev["user_id"] == pages["page_id"], "left").join(sup, ev["user_id"] == sup["s_suppkey"], "left")
+    u = F.col("user_id").cast("string")
+    up = F.coalesce(F.col("url_path"), F.lit("/misc"))
+    corpus_path = F.concat(F.lit("/repo/src/pkg"), F.col("s_nationkey").cast("string"), F.lit("/Supplier"), u, F.lit(".java"))
+    path = (
+        F.when(F.col("event_type") == "view", F.coalesce(corpus_path, F.concat(F.lit("/repo/src/new/User"), u, F.lit(".java"))))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("/repo"), up, F.lit("/.env")))
+        .when(F.col("event_type") == "click", F.concat(F.lit("/repo"), up, F.lit("/../.git/config")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("/repo/./"), up, F.lit("/notes.txt")))
+        .otherwise(F.concat(F.lit("logs/"), up, F.lit("/key.PEM")))
+    )
+    java = F.concat(
+        F.lit("public class Supplier"), u, F.lit(" {\n    public void ping() {\n        log(1);\n    }\n}\n")
+    )
+    content = F.when(F.col("event_type") == "view", java).otherwise(F.col("props"))
+    return j.select(F.col("event_id").cast("bigint").alias("seq"), path.alias("file_path"), content.alias("content"))
+
+
+def _classified(spark, sf_dir) -> DataFrame:
+    return PO.classify_writes(proposed_writes(spark, sf_dir), PO.parse_roots(WRITE_ROOTS))
+
+
+@register("normalize_path")
+def q_normalize_path(spark, sf_dir):
+    return _classified(spark, sf_dir).select("seq", "file_path", "target")
+
+
+@register("write_policy")
+def q_write_policy(spark, sf_dir):
+    return _classified(spark, sf_dir).select("seq", "target", "status", "reason")
+
+
+@register("write_result")
+def q_write_result(spark, sf_dir):
+    return _classified(spark, sf_dir).select(
+        "seq", "status", F.when(F.col("status") == "success", F.col("target")).alias("path"), "bytes_written", "warning", "reason"
+    )
+
+
+@register("apply_writes")
+def q_apply_writes(spark, sf_dir):
+    files = P.files(spark, sf_dir)
+    out = PO.apply_writes(files, _classified(spark, sf_dir))
+    original = files.select("path", "content")
+    return out.join(original.withColumnRenamed("content", "_orig"), "path", "left").select(
+        "path",
+        F.when(F.col("_orig").isNotNull() & (F.col("_orig") == F.col("content")), F.lit("original")).otherwise(F.lit("write")).alias("origin"),
+        "content",
+    )
+
+
+@register("stale_nodes")
+def q_stale_nodes(spark, sf_dir):
+    c = _classified(spark, sf_dir)
+    accepted = c.filter((F.col("status") == "success") & F.lower(F.col("target")).endswith(".java"))
+    latest = accepted.groupBy(F.col("target").alias("path")).agg(F.max_by("content", "seq").alias("content"))
+    fresh = X.parse(latest)
+    return G.stale_nodes(P.graph(spark, sf_dir), fresh).select("name", "class_name")
+
+
+SPLIT_PATH = "/repo/src/pkg2"
+
+
+@register("upsert_graph")
+def q_upsert_graph(spark, sf_dir):
+    """C9: graph of the paths before SPLIT_PATH, then an upsert of the rest."""
+    files = P.files(spark, sf_dir)
+    first = G.build_graph(spark, X.parse(files.filter(F.col("path") < SPLIT_PATH)))
+    both = G.upsert_graph(spark, first, X.parse(files.filter(F.col("path") >= SPLIT_PATH)), batch=2)
+    return G.graph_digest(spark, both)
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """S1: two incremental runs of the stream (files before SPLIT_PATH, then the rest)."""
+    files = P.files(spark, sf_dir)
+    src = scratch_path(spark, "stream-src")
+    state = scratch_path(spark, "stream-state")
+    ckpt = scratch_path(spark, "stream-ckpt")
+    files.filter(F.col("path") < SPLIT_PATH).write.mode("append").parquet(src)
+    ST.stream_ingest(spark, src, state, ckpt, files_per_trigger=None)
+    files.filter(F.col("path") >= SPLIT_PATH).write.mode("append").parquet(src)
+    ST.stream_ingest(spark, src, state, ckpt, files_per_trigger=None)
+    _, graph = ST.current_graph(spark, state)
+    return G.graph_digest(spark, graph)
