@@ -57,7 +57,12 @@ def _existing_pos() -> Column:
 
 
 def ingest_summary(parsed: DataFrame) -> DataFrame:
-    """B12: the run summary as one row."""
+    """B12: the run summary as one row of counters.
+
+    The per-file error list is not folded into this row (it is unbounded); it is
+    the ``parse_errors`` table ``(path, message)``, counted here as ``n_errors``.
+    Callers treat ``failed_files > 0`` as a failed run.
+    """
     ok = F.col("error").isNull()
     return parsed.agg(
         F.count(F.lit(1)).cast("bigint").alias("total_files"),
@@ -65,10 +70,15 @@ def ingest_summary(parsed: DataFrame) -> DataFrame:
         F.count_if(~ok).cast("bigint").alias("failed_files"),
         F.count_if(ok).cast("bigint").alias("total_classes"),
         F.coalesce(F.sum(F.when(ok, F.size("methods"))), F.lit(0)).cast("bigint").alias("total_methods"),
-        F.collect_list(F.when(~ok, F.struct(F.col("path"), F.col("error").alias("message")))).alias("errors"),
+        F.count_if(~ok).cast("bigint").alias("n_errors"),
     )
 
 
+def parse_errors(parsed: DataFrame) -> DataFrame:
+    """B10: one row per failed file."""
+    return parsed.filter(F.col("error").isNotNull()).select("path", F.col("error").alias("message"))
+
+
 def _bind(
     refs: DataFrame,
     defs_first: DataFrame,
@@ -89,9 +99,22 @@ def _bind(
     return bound.unionByName(stub_edges)
 
 
-def upsert_graph(spark: SparkSession, graph: dict[str, DataFrame] | None, parsed: DataFrame, batch: int = 1) -> dict[str, DataFrame]:
-    """C1-C9: upsert one batch of parsed files into ``graph`` (None = empty). Never deletes."""
+def upsert_graph(
+    spark: SparkSession,
+    graph: dict[str, DataFrame] | None,
+    parsed: DataFrame,
+    batch: int = 1,
+    materialize: bool = True,
+) -> dict[str, DataFrame]:
+    """C1-C9: upsert one batch of parsed files into ``graph`` (None = empty). Never deletes.
+
+    ``parsed`` feeds every node and edge table, so by default it is checkpointed
+    once (to ``spark.checkpoint.dir``) instead of being re-extracted per table;
+    pass ``materialize=False`` when the caller already persisted it.
+    """
     g = graph or empty_graph(spark)
+    if materialize:
+        parsed = parsed.checkpoint(eager=True)
     good = parsed.filter(F.col("error").isNull())
     methods = flat_methods(parsed)
     calls = flat_calls(methods)
@@ -204,9 +227,9 @@ def upsert_graph(spark: SparkSession, graph: dict[str, DataFrame] | None, parsed
     }
 
 
-def build_graph(spark: SparkSession, parsed: DataFrame) -> dict[str, DataFrame]:
+def build_graph(spark: SparkSession, parsed: DataFrame, materialize: bool = True) -> dict[str, DataFrame]:
     """A4: first-run graph of one ingest (upsert into an empty graph)."""
-    return upsert_graph(spark, None, parsed)
+    return upsert_graph(spark, None, parsed, materialize=materialize)
 
 
 def calls_settled(parsed: DataFrame, method_nodes: DataFrame) -> DataFrame:

@@ -21,16 +21,20 @@ FILE_KEY = ["fid", "fh"]
 
 
 def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """files(path, content) -> (fid, fh, path, content), hash-partitioned by the file key."""
+    """files(path, content) -> (fid, fh, path, content), hash-partitioned by the file key.
+
+    The partition count is explicit (default ``spark.sql.shuffle.partitions``):
+    the shuffle carries compact file text that later explodes ~10x into token
+    rows, so AQE must not coalesce it by its pre-explode size.
+    """
     keyed = files.select(
         F.xxhash64("path").alias("fid"),
         F.hash("path").alias("fh"),
         "path",
         "content",
     )
-    if num_partitions:
-        return keyed.repartition(num_partitions, *FILE_KEY)
-    return keyed.repartition(*FILE_KEY)
+    n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, *FILE_KEY)
 
 
 def _isin(c: Column, values: list[str]) -> Column:

@@ -45,7 +45,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def build():
-        g = G.build_graph(spark, parsed(spark, sf_dir))
+        g = G.build_graph(spark, parsed(spark, sf_dir), materialize=False)
         return {k: _persist(v) for k, v in g.items()}
 
     return _memo(spark, sf_dir, "graph", build)

@@ -83,7 +83,7 @@ def q_method_source(spark, sf_dir):
 
 @register("parse_errors")
 def q_parse_errors(spark, sf_dir):
-    return P.parsed(spark, sf_dir).filter(F.col("error").isNotNull()).select("path", "error")
+    return G.parse_errors(P.parsed(spark, sf_dir)).select("path", F.col("message").alias("error"))
 
 
 @register("parsed_files")
@@ -100,10 +100,7 @@ def q_parsed_files(spark, sf_dir):
 
 @register("ingest_summary")
 def q_ingest_summary(spark, sf_dir):
-    return G.ingest_summary(P.parsed(spark, sf_dir)).select(
-        "total_files", "success_files", "failed_files", "total_classes", "total_methods",
-        F.size("errors").cast("bigint").alias("n_errors"),
-    )
+    return G.ingest_summary(P.parsed(spark, sf_dir))
 
 
 # --------------------------------------------------------------------- graph

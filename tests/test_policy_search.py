@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 import posixpath
-import re
+import regex
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,7 +69,7 @@ def test_bm25_scores(spark):
     q = spark.createDataFrame([(1, ["beta"]), (2, ["register"]), (3, ["Beta", "gamma"])], "query_id bigint, terms array<string>")
     got = {(r["query_id"], r["doc_id"]): r["score"] for r in S.search(idx, q).collect()}
 
-    toks = {d: re.findall(L.ANALYZER_STANDARD, t.lower()) for d, t in docs}
+    toks = {d: regex.findall(L.ANALYZER_STANDARD, t.lower()) for d, t in docs}
     toks = {d: t for d, t in toks.items() if t}
     n = len(toks)
     avg = sum(map(len, toks.values())) / n
