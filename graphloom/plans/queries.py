@@ -205,11 +205,11 @@ from graphloom.functions import text as TX  # noqa: E402
 
 def doc_index(spark, sf_dir) -> S.Index:
     docs = _read(spark, sf_dir, "documents")
-    return P._memo(spark, sf_dir, "doc_index", lambda: S.build_index(docs, ["doc_id"], {"text": F.col("text")}))
+    return P._memo(spark, sf_dir, "doc_index", lambda: S.build_index(docs, ["doc_id"], {"text": F.col("text")}).checkpoint())
 
 
 def code_index(spark, sf_dir) -> S.Index:
-    return P._memo(spark, sf_dir, "code_index", lambda: S.method_index(P.graph(spark, sf_dir)["method_nodes"]))
+    return P._memo(spark, sf_dir, "code_index", lambda: S.method_index(P.graph(spark, sf_dir)["method_nodes"]).checkpoint())
 
 
 def conv_questions(spark, sf_dir) -> DataFrame:
