@@ -7,6 +7,7 @@ grows with them.  Column names match ``graphloom.plans.oracle_queries``.
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import tokens as TK
 from graphloom.operators import traverse as TR
 from graphloom.plans import pipeline as P
+from graphloom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -24,8 +26,13 @@ REGISTRY: dict[str, Query] = {}
 
 def register(key: str):
     def deco(fn: Query) -> Query:
-        REGISTRY[key] = fn
-        return fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[key] = run
+        return run
 
     return deco
 

@@ -84,25 +84,30 @@ FILE_HEADER_SQL = f"""concat('package pkg', {_i('nk')}, ';', {NL}, {NL},
 FILE_FOOTER_SQL = f"concat('}}', {NL})"
 
 
+def _row_count(df: DataFrame):
+    """Row count as a scalar subquery (evaluated inside the plan, no driver action)."""
+    return df.select(F.count(F.lit(1))).scalar()
+
+
 def corpus_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per part: the method block it renders, keyed by supplier ``s`` and ``p``."""
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    n = supplier.count()
-    n_parts = part.count()
+    n = _row_count(supplier)
+    n_parts = _row_count(part)
     return part.select(
         F.col("p_partkey").alias("p"),
         F.col("p_name").alias("pname"),
-        (F.col("p_partkey") % F.lit(n)).alias("s"),
-        F.lit(n).alias("n_sup"),
-        F.lit(n_parts).alias("n_part"),
+        (F.col("p_partkey") % n).alias("s"),
+        n.alias("n_sup"),
+        n_parts.alias("n_part"),
     ).withColumn("block", F.expr(METHOD_BLOCK_SQL))
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(path, content): one Java file per supplier."""
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    n = supplier.count()
+    n = _row_count(supplier)
     methods = corpus_methods(spark, sf_dir)
     body = methods.groupBy("s").agg(
         F.array_join(
@@ -113,7 +118,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_suppkey").alias("s"),
         F.col("s_nationkey").alias("nk"),
         F.col("s_name").alias("sname"),
-        F.lit(n).alias("n_sup"),
+        n.alias("n_sup"),
     )
     return heads.join(body, "s", "left").select(
         F.expr(PATH_SQL).alias("path"),
