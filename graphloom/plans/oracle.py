@@ -528,7 +528,11 @@ res AS (
 ORACLES["normalize_path"] = "WITH " + POLICY_CTES.strip() + "\nSELECT seq, file_path, target FROM res"
 ORACLES["write_policy"] = "WITH " + POLICY_CTES.strip() + "\nSELECT seq, target, status, reason FROM res"
 ORACLES["write_result"] = ("WITH " + POLICY_CTES.strip()
-                           + "\nSELECT seq, status, CASE WHEN status = 'success' THEN target END AS path, bytes_written, warning, reason FROM res")
+                           + "\nSELECT seq, status, CASE WHEN status = 'success' THEN target END AS path, bytes_written, warning, reason,"
+                           + "\n  CAST(CASE WHEN status = 'error' THEN json_object('status', status, 'reason', reason)"
+                           + "\n       WHEN warning IS NULL THEN json_object('status', status, 'path', target, 'bytes_written', bytes_written)"
+                           + "\n       ELSE json_object('status', status, 'path', target, 'bytes_written', bytes_written, 'warning', warning) END"
+                           + " AS VARCHAR) AS result FROM res")
 ORACLES["apply_writes"] = with_corpus(POLICY_CTES.strip() + """,
 acc AS (SELECT target AS path, content FROM res WHERE status = 'success'
         QUALIFY row_number() OVER (PARTITION BY target ORDER BY seq DESC) = 1)

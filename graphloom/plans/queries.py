@@ -489,8 +489,10 @@ def q_write_policy(spark, sf_dir):
 
 @register("write_result")
 def q_write_result(spark, sf_dir):
-    return _classified(spark, sf_dir).select(
-        "seq", "status", F.when(F.col("status") == "success", F.col("target")).alias("path"), "bytes_written", "warning", "reason"
+    c = _classified(spark, sf_dir)
+    return c.select(
+        "seq", "status", F.when(F.col("status") == "success", F.col("target")).alias("path"), "bytes_written", "warning", "reason",
+        PO.result_json(c).alias("result"),
     )
 
 
