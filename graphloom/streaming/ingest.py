@@ -39,9 +39,17 @@ def current_graph(spark: SparkSession, state_dir: str) -> tuple[int, dict[str, D
 
 
 def upsert_batch(spark: SparkSession, state_dir: str, files: DataFrame, batch_id: int) -> int:
-    """Parse one micro-batch of files and publish graph version ``batch_id + 1``."""
+    """Parse micro-batch ``batch_id`` and publish graph version ``batch_id + 1``.
+
+    The batch always reads version ``batch_id`` (written by the previous batch),
+    never the newest one, so a replayed batch (after a failure between the write
+    and the offset commit) recomputes the same version from the same input.
+    """
     version = batch_id + 1
-    _, graph = current_graph(spark, state_dir)
+    graph = None
+    if batch_id > 0:
+        base = f"{state_dir.rstrip('/')}/v{batch_id}"
+        graph = G.read_graph(spark, {t: f"{base}/{t}" for t in G.GRAPH_TABLES})
     parsed = X.parse(files)
     new_graph = G.upsert_graph(spark, graph, parsed, batch=version)
     G.write_graph(new_graph, f"{state_dir.rstrip('/')}/v{version}")

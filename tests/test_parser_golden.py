@@ -280,3 +280,36 @@ def test_large_comment_and_literal(spark):
     assert rec["class_name"] == "Big"
     assert [m["name"] for m in rec["methods"]] == ["m"]
     assert rec["methods"][0]["calls"] == ["z"]
+
+
+def test_malformed_files_do_not_fail_the_job(spark):
+    rows = [
+        ("/m/Open.java", "class Open { void a() { b(); "),
+        ("/m/Extra.java", "class Extra { void a() { } } } } void z() {}"),
+        ("/m/Str.java", 'class Str { String s = "unterminated; void a() { c(); } }'),
+        ("/m/Ok.java", "class Ok { void fine() { d(); } }"),
+    ]
+    got = {r["path"]: r for r in parse(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert len(got) == 4
+    assert all(r["error"] is None for r in got.values())
+    assert [m["name"] for m in got["/m/Ok.java"]["methods"]] == ["fine"]
+    assert [m["name"] for m in got["/m/Extra.java"]["methods"]] == ["a"]
+
+
+def test_scan_files_reads_a_folder(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "Svc.java").write_bytes(b"@Service\r\nclass Svc { void run() { go(); } }\r\n")
+    (tmp_path / "a" / "Readme.txt").write_text("not java")
+    (tmp_path / "Top.java").write_text("class Top { }")
+    from graphloom.sources.files import scan_files
+
+    files = scan_files(spark, str(tmp_path))
+    rows = {r["path"]: r for r in files.collect()}
+    assert set(rows) == {str(tmp_path / "a" / "b" / "Svc.java"), str(tmp_path / "Top.java")}
+    assert rows[str(tmp_path / "Top.java")]["name"] == "Top.java"
+    parsed = {r["path"]: r for r in parse(files.select("path", "content")).collect()}
+    svc = parsed[str(tmp_path / "a" / "b" / "Svc.java")]
+    assert svc["stereotype"] == "Service"
+    assert svc["methods"][0]["calls"] == ["go"]
+    with pytest.raises(Exception):
+        scan_files(spark, str(tmp_path / "missing")).collect()
