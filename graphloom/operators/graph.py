@@ -20,9 +20,10 @@ as position.  ``build_graph`` is an upsert into an empty graph.
 
 Scale: call occurrences are pre-aggregated per (caller node, callee name) before
 the name-binding join (one row per potential edge instead of one per call), so the
-join output is already distinct.  The binding join is on the callee name; AQE
-splits a hot name's partition (skew join) and broadcasts a side only when its
-measured size is under the threshold.
+join output is already distinct.  The binding join is on the callee name; a
+name holding a large share of all references is salted over many tasks
+(``plans.skew``), and AQE broadcasts a side only when its measured size is
+under the threshold.
 """
 from __future__ import annotations
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as TX
 from graphloom.operators.extract import flat_calls, flat_deps, flat_methods
+from graphloom.plans.skew import salted_join
 
 NODE_SCHEMAS = {
     "file_nodes": "path string, name string",
@@ -88,14 +90,19 @@ def _bind(
     def_loc: str,
 ) -> DataFrame:
     """Name binding: refs(<src cols>, ref_key, q) x defs_first(def_key, def_loc, d) on name, d <= q,
-    plus one stub edge per ref whose name has a stub.  refs are distinct per (src, name)."""
-    bound = refs.join(
-        defs_first.withColumnRenamed(def_key, "_n"),
-        (F.col(ref_key) == F.col("_n")) & (F.col("d") <= F.col("q")),
-    ).select(*[c for c in refs.columns if c != "q"], F.col(def_loc).alias("_loc"))
-    stub_edges = refs.join(stubs.select(F.col("name").alias("_n")), F.col(ref_key) == F.col("_n"), "left_semi").select(
-        *[c for c in refs.columns if c != "q"], F.lit(None).cast("string").alias("_loc")
-    )
+    plus one stub edge per ref whose name has a stub.  refs are distinct per (src, name).
+
+    A name referenced by a large share of all refs (``log``, ``get``) is split over
+    many tasks by salting (``plans.skew.salted_join``); the result is the plain join.
+    """
+    src_cols = [c for c in refs.columns if c != "q"]
+    bound = salted_join(
+        refs, defs_first.withColumnRenamed(def_key, "_n"), ref_key, "_n",
+        condition=F.col("d") <= F.col("q"), salt_cols=src_cols,
+    ).select(*src_cols, F.col(def_loc).alias("_loc"))
+    stub_edges = salted_join(
+        refs, stubs.select(F.col("name").alias("_n")), ref_key, "_n", how="left_semi", salt_cols=src_cols
+    ).select(*src_cols, F.lit(None).cast("string").alias("_loc"))
     return bound.unionByName(stub_edges)
 
 
