@@ -20,12 +20,36 @@ from graphloom.functions import lexicon as L
 FILE_KEY = ["fid", "fh"]
 
 
+# token rows (key, pos, token, depths, neighbours) take roughly this many bytes per byte of source
+TOKEN_ROW_FACTOR = 12
+TARGET_PARTITION_BYTES = 512 * 1024 * 1024
+
+
+def _plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (file sizes for a scan); None when unknown."""
+    try:
+        v = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # statistics unavailable
+        return None
+    return v if 0 < v < (1 << 50) else None
+
+
+def file_partitions(files: DataFrame) -> int:
+    """Partitions for the token job: enough that each holds ~512 MB of token rows, and at
+    least ``spark.sql.shuffle.partitions``."""
+    base = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = _plan_bytes(files)
+    if size is None:
+        return base
+    return max(base, -(-size * TOKEN_ROW_FACTOR // TARGET_PARTITION_BYTES))
+
+
 def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """files(path, content) -> (fid, fh, path, content), hash-partitioned by the file key.
 
-    The partition count is explicit (default ``spark.sql.shuffle.partitions``):
-    the shuffle carries compact file text that later explodes ~10x into token
-    rows, so AQE must not coalesce it by its pre-explode size.
+    The partition count is explicit (``file_partitions`` by default): the shuffle
+    carries compact file text that later explodes ~10x into token rows, so AQE
+    must not coalesce it by its pre-explode size.
     """
     keyed = files.select(
         F.xxhash64("path").alias("fid"),
@@ -33,7 +57,7 @@ def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
         "path",
         "content",
     )
-    n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or file_partitions(files)
     return keyed.repartition(n, *FILE_KEY)
 
 
