@@ -41,7 +41,8 @@ def file_partitions(files: DataFrame) -> int:
     size = _plan_bytes(files)
     if size is None:
         return base
-    return max(base, -(-size * TOKEN_ROW_FACTOR // TARGET_PARTITION_BYTES))
+    # estimates through joins can be far off: never go beyond 16x the configured count
+    return min(base * 16, max(base, -(-size * TOKEN_ROW_FACTOR // TARGET_PARTITION_BYTES)))
 
 
 def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
