@@ -48,7 +48,8 @@ def file_partitions(files: DataFrame) -> int:
 def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """files(path, content) -> (fid, fh, path, content), hash-partitioned by the file key.
 
-    The partition count is explicit (``file_partitions`` by default): the shuffle
+    The partition count is explicit (``spark.sql.shuffle.partitions`` by default;
+    ``file_partitions`` sizes it from a file scan's statistics): the shuffle
     carries compact file text that later explodes ~10x into token rows, so AQE
     must not coalesce it by its pre-explode size.
     """
@@ -58,7 +59,7 @@ def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
         "path",
         "content",
     )
-    n = num_partitions or file_partitions(files)
+    n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, *FILE_KEY)
 
 
