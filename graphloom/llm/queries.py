@@ -4,9 +4,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, token_counts
+from graphloom.llm import byte_bpe, decontaminate, jaccard_join, langid, token_counts, toxicity
+from graphloom.llm.ship import ship
+from graphloom.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def remainder(modulus: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by prefix dynamic programming."""
     return token_counts.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -26,5 +34,43 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.PATTERN, ids=False)
 
 
-REGISTRY: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op6_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document by suffix arrays."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
+    return found.drop("spans")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by boosted trees, learned from labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(remainder(5) != 0))
+    found = toxicity.predict(docs, model)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets overlap by 0.9 or more."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by mixture inference, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(remainder(5) != 0))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def registered(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        ship(spark)
+        return query(spark, sf_dir)
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
+REGISTRY: dict[str, Query] = {f.__name__: registered(f) for f in (
+    op2_token_counts, op4_decontaminate, op5_toxicity, op6_byte_bpe, op8_jaccard_join, op9_language_id)}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE}
