@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, decontaminate, jaccard_join, langid, token_counts, toxicity
+from graphloom.llm import byte_bpe, decontaminate, jaccard_join, langid, sharding, token_counts, toxicity
 from graphloom.llm.ship import ship
 from graphloom.session import ensure_checkpoint_dir
 
@@ -23,6 +23,12 @@ def remainder(modulus: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into eight shards of nearly equal bytes by histogram sort."""
+    found = sharding.shard(table(spark, sf_dir, "documents"), n_shards=8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by prefix dynamic programming."""
     return token_counts.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
@@ -72,5 +78,5 @@ def registered(query: Query) -> Query:
 
 
 REGISTRY: dict[str, Query] = {f.__name__: registered(f) for f in (
-    op2_token_counts, op4_decontaminate, op5_toxicity, op6_byte_bpe, op8_jaccard_join, op9_language_id)}
+    op1_sharding, op2_token_counts, op4_decontaminate, op5_toxicity, op6_byte_bpe, op8_jaccard_join, op9_language_id)}
 ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE}
