@@ -96,9 +96,9 @@ def describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[Da
             yield pa.RecordBatch.from_arrays([pa.nulls(len(part), ids.type), pa.array(cells[part]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(part, pa.int32())], names)
 
     both = written(docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(scan, f"id {kind}, n long, d0 long, d1 long, cell int"), "sets")
-    sums = both.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    sums = both.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells = np.zeros(1 << SKETCH_BITS, np.float64)
-    cells[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
+    cells[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     return both.where("cell is null").drop("cell"), np.minimum(255, 8 * np.log2(cells + 1)).astype(np.uint8)
 
 
@@ -140,8 +140,7 @@ def sets_of(docs: DataFrame, size: int, wanted: DataFrame, text_col: str) -> Dat
     (2 MB at most, so all sets pass it beyond some millions; the join after it is exact)."""
     bits = 24
     marks = np.zeros(1 << bits, bool)
-    for r in wanted.select(F.shiftrightunsigned("d0", 64 - bits).alias("c")).distinct().toLocalIterator():
-        marks[r[0]] = True
+    marks[wanted.select(F.shiftrightunsigned("d0", 64 - bits).cast("int").alias("c")).distinct().toArrow()["c"].to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

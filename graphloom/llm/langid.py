@@ -62,12 +62,14 @@ def _batches(batch: pa.RecordBatch, at: int):
 class Model:
     """Log probabilities of the cells in each language, add-one smoothed."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.names = sorted({r[0] for r in rows})
+    def __init__(self, rows: pa.Table | None):
+        """``rows``: lang, cell, n, each pair of lang and cell once; None where nothing was learned."""
+        names = np.array(rows["lang"].to_pylist() if rows is not None else [], object)
+        self.names = sorted(set(names))
         counts = np.zeros((CELLS, len(self.names)), np.float64)
-        number = {name: i for i, name in enumerate(self.names)}
-        for name, cell, n in rows:
-            counts[cell, number[name]] += n
+        for i, name in enumerate(self.names):
+            own = names == name
+            counts[rows["cell"].to_numpy()[own], i] = rows["n"].to_numpy()[own]
         self.p = ((counts + 1) / (counts.sum(0) + CELLS)).astype(np.float32)
 
     def mixtures(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +124,7 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not sizes:
-        return Model([])
+        return Model(None)
     limit = F.coalesce(*[F.when(F.col(lang_col) == name, F.lit(int(min(1.0, train_rows / n) * (1 << 20)))) for name, n in sizes.items()])
     kept = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < limit).select(F.col(lang_col).cast("string"), text_col)
 
@@ -140,7 +142,7 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at].astype(np.int64))], ["lang", "cell", "n"])
 
     got = kept.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in got.collect()])
+    return Model(got.toArrow())
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, decontaminate, jaccard_join, langid, sharding, token_counts, toxicity
+from graphloom.llm import byte_bpe, decontaminate, jaccard_join, langid, license_scan, sharding, spotsigs, token_counts, toxicity
 from graphloom.llm.ship import ship
 from graphloom.session import ensure_checkpoint_dir
 
@@ -40,6 +40,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.PATTERN, ids=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document by the paragraph classifier, confirmed against templates."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document by suffix arrays."""
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
@@ -54,6 +59,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprints of every document and of its edited text, and their likeness."""
+    return spotsigs.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets overlap by 0.9 or more."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
@@ -78,5 +88,5 @@ def registered(query: Query) -> Query:
 
 
 REGISTRY: dict[str, Query] = {f.__name__: registered(f) for f in (
-    op1_sharding, op2_token_counts, op4_decontaminate, op5_toxicity, op6_byte_bpe, op8_jaccard_join, op9_language_id)}
+    op1_sharding, op2_token_counts, op3_license_scan, op4_decontaminate, op5_toxicity, op6_byte_bpe, op7_spotsigs, op8_jaccard_join, op9_language_id)}
 ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE}
