@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, decontaminate, jaccard_join, langid, license_scan, sharding, spotsigs, token_counts, toxicity
+from graphloom.llm import byte_bpe, decontaminate, jaccard_join, langid, license_scan, mixing_lm, sharding, spotsigs, token_counts, toxicity
 from graphloom.llm.ship import ship
 from graphloom.session import ensure_checkpoint_dir
 
@@ -77,6 +77,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-mixing score of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model, counts = mixing_lm.learn(docs.where(remainder(7) != 2))
+    found = mixing_lm.score(docs, model, counts)
+    return found.withColumn("held_out", remainder(7) == 2)
+
+
 def registered(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
@@ -88,5 +96,5 @@ def registered(query: Query) -> Query:
 
 
 REGISTRY: dict[str, Query] = {f.__name__: registered(f) for f in (
-    op1_sharding, op2_token_counts, op3_license_scan, op4_decontaminate, op5_toxicity, op6_byte_bpe, op7_spotsigs, op8_jaccard_join, op9_language_id)}
+    op1_sharding, op2_token_counts, op3_license_scan, op4_decontaminate, op5_toxicity, op6_byte_bpe, op7_spotsigs, op8_jaccard_join, op9_language_id, op10_mixing_lm)}
 ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE}
