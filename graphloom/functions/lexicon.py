@@ -29,21 +29,22 @@ AUTOWIRED = "Autowired"
 # identifiers followed by "(" that are never a method invocation
 CALL_KEYWORDS = [
     "if", "for", "while", "switch", "catch", "synchronized", "return", "throw",
-    "this", "super", "try", "assert", "yield", "case", "new", "instanceof",
+    "this", "super", "try", "assert", "case", "new", "instanceof",
     "do", "else",
 ]
+# words that are keywords only where no "." stands before them
+CONTEXT_KEYWORDS = ["yield"]
 # declaration modifiers (never a type)
 MODIFIERS = [
     "public", "private", "protected", "static", "final", "abstract", "native",
     "synchronized", "transient", "volatile", "strictfp", "default", "sealed",
 ]
 # reserved words that cannot end a type (primitive types and void can)
-NON_TYPE_KEYWORDS = sorted(set(CALL_KEYWORDS + MODIFIERS + [
+NON_TYPE_KEYWORDS = sorted(set(CALL_KEYWORDS + CONTEXT_KEYWORDS + MODIFIERS + [
     "package", "import", "class", "interface", "enum", "extends", "implements",
     "throws", "break", "continue", "finally", "goto", "const", "null", "true",
     "false", "permits",
 ]))
-DECLARATION_KEYWORDS = ["class", "interface", "enum", "record"]
 
 # --- fixed values: question key terms --------------------------------------
 STOP_WORDS = [
@@ -83,5 +84,9 @@ MSG_NO_HITS_PREFIX = "No methods found in the graph for terms: "
 MSG_NO_HITS_SUFFIX = ". Try re-running ingestion or use search_code with a different term."
 MSG_NO_CALLS = "    (no outgoing calls recorded or not yet indexed)"
 MSG_NOTE = "NOTE: Re-run ingestion if recently written files are missing from results."
+MSG_OUTSIDE = ("Path ", " is outside allowed roots.")
+MSG_BLOCKED = ("Writing to ", " is blocked.")
+MSG_VCS = "Writing inside .git is blocked."
+MSG_INVALID_PATH = "Invalid path"
 MSG_FILE_NOT_FOUND = "ERROR: File not found: "
 MSG_STALE = " — re-run ingestion to sync."

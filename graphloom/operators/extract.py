@@ -58,6 +58,11 @@ def segments(tokens: DataFrame) -> DataFrame:
     nested_kw = hdr & (_nz(p1) != ".") & (
         tok.isin("class", "interface", "enum") | ((tok == "record") & _ident(n1))
     )
+    # a declaration without a body (of a local interface): a type stands before the name and ")" ";" follows
+    typed = (_nz(p2) == "]") | ((_nz(p2) == ">") & (_nz(F.col("p4")) == "<") & _ident(F.col("p5"))) | (_ident(p2) & ~_nz(p2).isin(L.NON_TYPE_KEYWORDS))
+    bodiless = (_nz(F.col("close_next")) == ";") & typed
+    # new A<B>.C(...): the chain after "new" goes through type arguments
+    generic_new = (_nz(p2) == ".") & (_nz(p3) == ">")
     # a call is decided on its "(" row: the identifier before it, not a keyword,
     # not an annotation name, not after new, and not a declaration ") {" / ") throws"
     call_row = (
@@ -66,9 +71,12 @@ def segments(tokens: DataFrame) -> DataFrame:
         & ~((bd == 1) & (pd == 0))
         & _ident(p1)
         & ~_nz(p1).isin(L.CALL_KEYWORDS)
+        & ~(_nz(p1).isin(L.CONTEXT_KEYWORDS) & (_nz(p2) != "."))
         & ~F.coalesce(F.col("p1_ann"), F.lit(False))
         & ~F.coalesce(F.col("p1_new"), F.lit(False))
         & ~_nz(F.col("close_next")).isin("{", "throws")
+        & ~bodiless
+        & ~generic_new
     )
     is_str = tok.startswith('"')
     arg_level = body & (bd == 1) & (pd == 1) & is_str & _nz(n1).isin(",", ")")
@@ -106,7 +114,7 @@ def segments(tokens: DataFrame) -> DataFrame:
         F.collect_list(F.when(lit_cand, F.struct(F.col("pos"), F.col("ann_owner").alias("owner"), tok.alias("lit")))).alias("lits"),
         F.collect_list(F.when(call_row, F.struct(F.col("pos"), p1.alias("name")))).alias("call_list"),
         F.max(hdr & simple_ann & (n1 == L.AUTOWIRED)).alias("autowired"),
-        F.min(F.when(hdr & ~modlike, F.struct(F.col("pos"), F.col("off")))).alias("type_start"),
+        F.min(F.when(hdr & ~modlike, F.struct(F.col("pos"), F.col("off"), tok.alias("t")))).alias("type_start"),
         F.collect_list(
             F.when(decl_cand, F.struct(F.col("pos"), (F.col("off") - F.col("ws_len")).alias("type_end")))
         ).alias("decls"),
@@ -121,7 +129,8 @@ def _file_records(segs: DataFrame) -> DataFrame:
         & cand.isNotNull()
         & ~F.coalesce(F.col("has_kw"), F.lit(False))
         & (F.col("eq_pos").isNull() | (cand["pos"] < F.col("eq_pos")))
-        & ~((cand["name"] == F.col("rname")) & (cand["prev"] == ">"))
+        # a constructor has only type parameters before its name
+        & ~((cand["name"] == F.col("rname")) & (cand["prev"] == ">") & (F.col("type_start")["t"] == "<"))
     )
     endpoint_lit = F.array_min(F.filter("lits", lambda x: x["owner"] == F.col("http")["pos"]))["lit"]
     decl = F.array_min(F.filter("decls", lambda x: x["pos"] > F.col("type_start")["pos"]))
@@ -164,7 +173,8 @@ def _file_records(segs: DataFrame) -> DataFrame:
 def parse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """B11: files(path, content) -> parsed (one row per file, nothing dropped)."""
     keyed = key_files(files, num_partitions)
-    recs = _file_records(segments(token_table(keyed)))
+    # rows that repeat a path and content are lexed once and share their record
+    recs = _file_records(segments(token_table(keyed.dropDuplicates(FILE_KEY))))
     joined = keyed.join(recs, FILE_KEY, "left")
     content = F.col("content")
     stem = T.file_stem(T.file_name(F.col("path")))

@@ -271,13 +271,18 @@ def graph_digest(spark: SparkSession, graph: dict[str, DataFrame]) -> DataFrame:
 
 
 def stale_nodes(graph: dict[str, DataFrame], fresh_parsed: DataFrame) -> DataFrame:
-    """C10: method nodes of files in ``fresh_parsed`` that a fresh extract no longer has."""
-    fresh = flat_methods(fresh_parsed).select("name", "class_name").distinct()
-    touched = fresh_parsed.select(F.col("path").alias("file_path"), "class_name").distinct()
-    in_touched = graph["defines"].join(touched, ["file_path", "class_name"], "left_semi").select(
-        F.col("method_name").alias("name"), "class_name"
-    ).distinct()
-    return in_touched.join(fresh, ["name", "class_name"], "left_anti")
+    """C10: (kind, name, class_name) of the method and class nodes that the graph has from files in ``fresh_parsed``
+    and a fresh extract of these files no longer has.  Files are matched by path alone, so a renamed class is found."""
+    touched = fresh_parsed.select(F.col("path").alias("file_path")).distinct()
+    fresh = flat_methods(fresh_parsed).select(F.col("path").alias("file_path"), F.col("name").alias("method_name"), "class_name").distinct()
+    gone = graph["defines"].join(touched, "file_path", "left_semi").join(fresh, ["file_path", "method_name", "class_name"], "left_anti")
+    # a method that another file still defines for the same class stays
+    elsewhere = graph["defines"].join(touched, "file_path", "left_anti").select("method_name", "class_name").unionByName(fresh.select("method_name", "class_name")).distinct()
+    methods = gone.select("method_name", "class_name").distinct().join(elsewhere, ["method_name", "class_name"], "left_anti")
+    classes = graph["contains"].join(touched, "file_path", "left_semi").join(
+        fresh_parsed.filter(F.col("error").isNull()).select(F.col("path").alias("file_path"), "class_name"), ["file_path", "class_name"], "left_anti")
+    return methods.select(F.lit("method").alias("kind"), F.col("method_name").alias("name"), "class_name").unionByName(
+        classes.select(F.lit("class").alias("kind"), F.col("class_name").alias("name"), F.lit(None).cast("string").alias("class_name")).distinct())
 
 
 def write_graph(graph: dict[str, DataFrame], base: str) -> dict[str, str]:

@@ -5,7 +5,7 @@ classifies every row (the first failing check decides), and accepted writes are
 applied to a ``files(path, content)`` table: the last write per path wins
 (``max_by`` on ``seq``) and replaces or adds that path.  Nothing touches a disk.
 
-Checks, in order:
+Checks, in order (a NULL path, or one with a NUL character, is invalid before all):
 1. target = lexical ``resolve`` of the path (absolute, ``.`` / ``..`` collapsed;
    symlinks need a disk and are not followed);
 2. roots: split on ``:`` or ``;``, trimmed, blanks dropped, each resolved; no roots
@@ -38,10 +38,10 @@ def resolve(path: Column, cwd: str = "/") -> Column:
 
 def classify_writes(writes: DataFrame, roots: list[str] | None = None, cwd: str = "/", strict: bool = False) -> DataFrame:
     """H1-H7: (seq, file_path, target, status, reason, bytes_written, warning) per proposed write."""
-    target = resolve(F.col("file_path"), cwd)
     name = TX.file_name(F.col("target"))
     suffix = F.lower(TX.file_suffix(name))
-    df = writes.withColumn("target", target)
+    # the path is folded once per row: an inlined struct isn't copied into the expressions that read it
+    df = writes.select("*", F.inline(F.array(F.struct(resolve(F.col("file_path"), cwd).alias("target")))))
     root_cols = [TX.normalize_path(F.lit(r if r.startswith("/") else cwd.rstrip("/") + "/" + r)) for r in (roots or [])]
     if root_cols:
         if strict:
@@ -56,10 +56,12 @@ def classify_writes(writes: DataFrame, roots: list[str] | None = None, cwd: str
         inside = F.lit(True)
     blocked = suffix.isin(L.BLOCKED_SUFFIXES) | (name == L.BLOCKED_NAME)
     in_vcs = F.array_contains(F.split(F.col("target"), "/"), L.VCS_DIR)
+    invalid = F.col("file_path").isNull() | F.contains(F.col("file_path"), F.lit("\0"))
     reason = (
-        F.when(~inside, F.concat(F.lit("Path "), F.col("target"), F.lit(" is outside allowed roots.")))
-        .when(blocked, F.concat(F.lit("Writing to "), name, F.lit(" is blocked.")))
-        .when(in_vcs, F.lit("Writing inside .git is blocked."))
+        F.when(invalid, F.lit(L.MSG_INVALID_PATH))
+        .when(~inside, F.concat(F.lit(L.MSG_OUTSIDE[0]), F.col("target"), F.lit(L.MSG_OUTSIDE[1])))
+        .when(blocked, F.concat(F.lit(L.MSG_BLOCKED[0]), name, F.lit(L.MSG_BLOCKED[1])))
+        .when(in_vcs, F.lit(L.MSG_VCS))
     )
     status = F.when(reason.isNull(), F.lit("success")).otherwise(F.lit("error"))
     ok = reason.isNull()

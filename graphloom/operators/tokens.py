@@ -20,46 +20,33 @@ from graphloom.functions import lexicon as L
 FILE_KEY = ["fid", "fh"]
 
 
-# token rows (key, pos, token, depths, neighbours) take roughly this many bytes per byte of source
-TOKEN_ROW_FACTOR = 12
-TARGET_PARTITION_BYTES = 512 * 1024 * 1024
-
-
-def _plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (file sizes for a scan); None when unknown."""
-    try:
-        v = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # statistics unavailable
-        return None
-    return v if 0 < v < (1 << 50) else None
+# a partition of the token job holds about this much source text (token rows take some 12 times as much)
+TARGET_SOURCE_BYTES = 32 * 1024 * 1024
 
 
 def file_partitions(files: DataFrame) -> int:
-    """Partitions for the token job: enough that each holds ~512 MB of token rows, and at
-    least ``spark.sql.shuffle.partitions``."""
+    """Partitions for the token job by the text's exact length (one narrow pass), and
+    ``spark.sql.shuffle.partitions`` at least."""
+    size = files.agg(F.sum(F.length("content"))).first()[0] or 0
     base = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = _plan_bytes(files)
-    if size is None:
-        return base
-    # estimates through joins can be far off: never go beyond 16x the configured count
-    return min(base * 16, max(base, -(-size * TOKEN_ROW_FACTOR // TARGET_PARTITION_BYTES)))
+    return max(base, -(-size // TARGET_SOURCE_BYTES))
 
 
 def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """files(path, content) -> (fid, fh, path, content), hash-partitioned by the file key.
 
-    The partition count is explicit (``spark.sql.shuffle.partitions`` by default;
-    ``file_partitions`` sizes it from a file scan's statistics): the shuffle
-    carries compact file text that later explodes ~10x into token rows, so AQE
-    must not coalesce it by its pre-explode size.
+    The partition count is explicit (by the text's length, see ``file_partitions``): the
+    shuffle carries compact file text that later explodes ~10x into token rows, so AQE
+    must not coalesce it by its pre-explode size.  The key covers the content, so that two
+    versions of one path stay apart.
     """
     keyed = files.select(
-        F.xxhash64("path").alias("fid"),
-        F.hash("path").alias("fh"),
+        F.xxhash64("path", "content").alias("fid"),
+        F.hash("path", "content").alias("fh"),
         "path",
         "content",
     )
-    n = num_partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or file_partitions(files)
     return keyed.repartition(n, *FILE_KEY)
 
 
@@ -75,7 +62,7 @@ def token_table(keyed_files: DataFrame) -> DataFrame:
     """Significant tokens with depths, offsets, region and member-segment ids.
 
     Columns: fid, fh, pos, tok, ws_len, off (0-based char offset of tok), bd / pd
-    (brace / paren depth before the token), p1..p3 / n1..n2 (neighbour tokens),
+    (brace / paren depth before the token), p1..p5 / n1..n2 (neighbour tokens),
     region (top-level declaration id), seg (class-member id), rkw / rname (the
     declaration keyword and class name of the token's region), ann (identifier
     belongs to an annotation name), newchain (identifier follows ``new``),
@@ -108,6 +95,8 @@ def token_table(keyed_files: DataFrame) -> DataFrame:
         F.lag(tok, 1).over(w).alias("p1"),
         F.lag(tok, 2).over(w).alias("p2"),
         F.lag(tok, 3).over(w).alias("p3"),
+        F.lag(tok, 4).over(w).alias("p4"),
+        F.lag(tok, 5).over(w).alias("p5"),
         F.lead(tok, 1).over(w).alias("n1"),
         F.lead(tok, 2).over(w).alias("n2"),
     )

@@ -228,7 +228,7 @@ def index_ctes(p: str, docs: str, keys: list[str]) -> str:
 {p}_arr AS (SELECT {k}, field, regexp_extract_all(lower(txt), '{PAT}') AS t FROM ({docs})),
 {p}_tok AS (SELECT {k}, field, unnest(t) AS term, unnest(range(len(t))) AS pos FROM {p}_arr),
 {p}_dl AS (SELECT {k}, field, count(*) AS dl FROM {p}_tok GROUP BY {k}, field),
-{p}_tf AS (SELECT {k}, field, term, count(*) AS tf, min(pos) AS first_pos FROM {p}_tok GROUP BY {k}, field, term),
+{p}_tf AS (SELECT {k}, field, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM {p}_tok GROUP BY {k}, field, term),
 {p}_df AS (SELECT field, term, count(*) AS df, sum(tf) AS cf FROM {p}_tf GROUP BY field, term),
 {p}_fs AS (SELECT field, count(*) AS n_docs, avg(dl) AS avgdl FROM {p}_dl GROUP BY field)"""
 
@@ -268,7 +268,7 @@ def top_k(src: str, keys: list[str], k: int = 5) -> str:
 DOCS = "SELECT doc_id, 'text' AS field, text AS txt FROM documents"
 
 KEY_TERMS_CTES = f"""
-kt_src AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS question_id, text AS question FROM conversations WHERE role = 'user'),
+kt_src AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, text AS question FROM conversations WHERE role = 'user'),
 kt_w AS (
   SELECT question_id, unnest(ws) AS w, unnest(range(len(ws))) AS i
   FROM (SELECT question_id, regexp_split_to_array(replace(replace(lower(question), '?', ''), ',', ''), '\\s+') AS ws FROM kt_src)),
@@ -284,11 +284,14 @@ def _plain(key: str, ctes: str, select: str) -> None:
 _plain("analyze_text", "x AS (SELECT doc_id, regexp_extract_all(lower(text), '" + PAT + "') AS t FROM documents)",
        "SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM x")
 _plain("postings", index_ctes("d", DOCS, ["doc_id"]),
-       "SELECT doc_id, term, tf, CAST(first_pos AS BIGINT) AS first_pos FROM d_tf")
+       "SELECT doc_id, term, tf, positions FROM d_tf")
 _plain("term_stats", index_ctes("d", DOCS, ["doc_id"]),
        "SELECT x.term, x.df, CAST(x.cf AS BIGINT) AS cf, f.n_docs, round(f.avgdl, 6) AS avgdl FROM d_df x JOIN d_fs f USING (field)")
 
-_conv_q = KEY_TERMS_CTES + ",\nkq AS (SELECT question_id AS qkey, list(term ORDER BY term_pos) AS words FROM kt GROUP BY question_id)"
+_conv_q = """
+kq AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qkey, regexp_split_to_array(text, '\\s+') AS words
+       FROM conversations WHERE role = 'user'),
+dw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '""" + PAT + """')) AS word FROM conversations WHERE role = 'user')"""
 
 _plain("search_any", _conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + "," + query_ctes("q", "SELECT * FROM kq")
        + "," + score_ctes("s", "d", "q", ["doc_id"]),
@@ -310,7 +313,7 @@ UNION ALL
 SELECT qkey AS query_id, 'not' AS mode, rank, doc_id, round(score, 6) AS score FROM {top_k('not_sc', ['doc_id'])}""")
 
 _phrase = (index_ctes("d", DOCS, ["doc_id"]) + ","
-           + query_ctes("q", "SELECT item_id AS qkey, string_split(text, ' ')[1:3] AS words FROM benchmark")
+           + query_ctes("q", "SELECT item_id AS qkey, regexp_split_to_array(text, '\\s+') AS words FROM benchmark")
            + f""",
 q_off AS (SELECT qkey, term, CAST(row_number() OVER (PARTITION BY qkey ORDER BY qpos, tpos) AS BIGINT) - 1 AS off FROM q_qt),
 q_n AS (SELECT qkey, count(*) AS n FROM q_off GROUP BY qkey),
@@ -327,28 +330,12 @@ _plain("search_phrase", _phrase,
        f"SELECT CAST(qkey AS BIGINT) AS query_id, rank, doc_id, round(score, 6) AS score FROM {top_k('ph_sc', ['doc_id'])}")
 
 _prefix = (_conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + """,
-pq AS (SELECT qkey, substring(lower(words[1]), 1, 4) AS prefix FROM kq WHERE len(words) > 0),
-pre_sc AS (SELECT DISTINCT p.qkey, t.doc_id, CAST(1.0 AS DOUBLE) AS score FROM pq p JOIN d_tf t ON starts_with(t.term, p.prefix))""")
+pre_t AS (SELECT w.word AS qkey, d.term FROM dw w JOIN d_df d ON starts_with(d.term, w.word)),
+pre_sc AS (SELECT DISTINCT p.qkey, t.doc_id, CAST(1.0 AS DOUBLE) AS score FROM pre_t p JOIN d_tf t ON t.term = p.term)""")
 _plain("search_prefix", _prefix,
        f"SELECT qkey AS query_id, rank, doc_id, score FROM {top_k('pre_sc', ['doc_id'])}")
 
-_fuzzy = (_conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + """,
-fq AS (SELECT qkey, lower(words[1]) AS word FROM kq WHERE len(words) > 0),
-nac AS (SELECT c, row_number() OVER (ORDER BY c) AS r
-        FROM (SELECT DISTINCT unnest(string_split(term, '')) AS c FROM d_df) WHERE unicode(c) > 127),
-tr AS (SELECT coalesce(string_agg(c, '' ORDER BY r), '') AS f,
-              coalesce(string_agg(chr(CAST(64 + r AS INTEGER)), '' ORDER BY r), '') AS t FROM nac WHERE r <= 26),
-fterm AS (SELECT f.qkey, d.field, d.term, d.df FROM fq f JOIN d_df d ON abs(length(d.term) - length(f.word)) <= 2
-          CROSS JOIN tr
-          WHERE levenshtein(translate(f.word, tr.f, tr.t), translate(d.term, tr.f, tr.t)) <= 2),
-fw AS (SELECT x.qkey, x.field, x.term, ln(1 + (s.n_docs - x.df + CAST(0.5 AS DOUBLE)) / (x.df + CAST(0.5 AS DOUBLE))) AS idf, s.avgdl
-       FROM fterm x JOIN d_fs s ON s.field = x.field),
-fz_sc AS (SELECT w.qkey, t.doc_id,
-                 sum(w.idf * (t.tf / (t.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * l.dl / w.avgdl)))) AS score
-          FROM fw w JOIN d_tf t ON t.field = w.field AND t.term = w.term JOIN d_dl l ON l.field = t.field AND l.doc_id = t.doc_id
-          GROUP BY w.qkey, t.doc_id)""")
-_plain("search_fuzzy", _fuzzy,
-       f"SELECT qkey AS query_id, rank, doc_id, round(score, 6) AS score FROM {top_k('fz_sc', ['doc_id'])}")
+# search_fuzzy has none: an edit distance of every query word to every term is too slow in SQL (tests hold it to brute force)
 
 # code index over the corpus method nodes
 CODE_DOCS = ("SELECT name, class_name, 'source_code' AS field, source_code AS txt FROM c_mnode WHERE source_code IS NOT NULL "
@@ -373,9 +360,9 @@ FROM {top_k('s_sc', ['name', 'class_name'])}""")
 ORACLES["key_terms"] = "WITH " + KEY_TERMS_CTES.strip() + "\nSELECT question_id, term_pos, term FROM kt"
 
 _Q_ALL = KEY_TERMS_CTES.replace(
-    "kt_src AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS question_id, text AS question FROM conversations WHERE role = 'user')",
-    "kt_src AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS question_id, text AS question FROM conversations WHERE role = 'user'\n"
-    "  UNION ALL SELECT CAST(min(p_partkey) + 1000000000 AS BIGINT), 'Where is the ' || p_name || ' handled?' FROM part GROUP BY p_name)",
+    "kt_src AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, text AS question FROM conversations WHERE role = 'user')",
+    "kt_src AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS question_id, text AS question FROM conversations WHERE role = 'user'\n"
+    "  UNION ALL SELECT 'part:' || CAST(min(p_partkey) AS VARCHAR), 'Where is the ' || p_name || ' handled?' FROM part GROUP BY p_name)",
 )
 _hits_ctes = (
     _Q_ALL.strip() + "," + _code_idx + ","
@@ -542,6 +529,6 @@ SELECT a.path, CASE WHEN c.content IS NOT NULL AND c.content = a.content THEN 'o
 FROM acc a LEFT JOIN c_content c ON c.path = a.path""")
 ORACLES["stale_nodes"] = with_corpus(POLICY_CTES.strip() + """,
 jw AS (SELECT DISTINCT target FROM res WHERE status = 'success' AND lower(target) LIKE '%.java')
-SELECT DISTINCT m.name, m.class_name FROM c_method m JOIN jw ON jw.target = m.path WHERE m.name <> 'ping'""")
+SELECT DISTINCT 'method' AS kind, m.name, m.class_name FROM c_method m JOIN jw ON jw.target = m.path WHERE m.name <> 'ping'""")
 ORACLES["upsert_graph"] = ORACLES["build_graph"]
 ORACLES["stream_ingest"] = ORACLES["build_graph"]

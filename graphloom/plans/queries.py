@@ -3,7 +3,7 @@
 Every query reads the given tables (the Java corpus is rendered from ``supplier``
 and ``part``; prose from ``documents``; questions from ``conversations`` and
 ``part``; paths from ``pages``; write sequence from ``events``), so its work
-grows with them.  Column names match ``graphloom.plans.oracle_queries``.
+grows with them.  Column names match ``graphloom.plans.oracle``.
 """
 from __future__ import annotations
 
@@ -220,10 +220,10 @@ def code_index(spark, sf_dir) -> S.Index:
 
 
 def conv_questions(spark, sf_dir) -> DataFrame:
-    """User turns of ``conversations`` as questions; id = conv_id * 1000 + turn."""
+    """User turns of ``conversations`` as questions; the id is made of both parts of their key."""
     conv = _read(spark, sf_dir, "conversations")
     return conv.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("question_id"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
         F.col("text").alias("question"),
     )
 
@@ -232,7 +232,7 @@ def part_questions(spark, sf_dir) -> DataFrame:
     """One question per distinct part name (the name appears in the corpus sources)."""
     part = _read(spark, sf_dir, "part")
     return part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).select(
-        (F.col("k") + F.lit(1_000_000_000)).cast("bigint").alias("question_id"),
+        F.concat(F.lit("part:"), F.col("k").cast("string")).alias("question_id"),
         F.concat(F.lit("Where is the "), F.col("p_name"), F.lit(" handled?")).alias("question"),
     )
 
@@ -245,8 +245,18 @@ def conv_terms(spark, sf_dir) -> DataFrame:
     return CX.key_terms(conv_questions(spark, sf_dir))
 
 
+def turn_words(spark, sf_dir) -> DataFrame:
+    """All words of each user turn, as raw query words."""
+    return conv_questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), F.split("question", r"\s+").alias("terms"))
+
+
+def distinct_words(spark, sf_dir) -> DataFrame:
+    """Each distinct term of the user turns, as a query of its own."""
+    return conv_questions(spark, sf_dir).select(F.explode(TX.analyze(F.col("question"))).alias("query_id")).distinct()
+
+
 def _doc_out(df: DataFrame) -> DataFrame:
-    return df.select(F.col("query_id").cast("bigint").alias("query_id"), "rank", "doc_id", "score")
+    return df.select("query_id", "rank", "doc_id", "score")
 
 
 @register("analyze_text")
@@ -263,7 +273,7 @@ def q_analyze_text(spark, sf_dir):
 @register("postings")
 def q_postings(spark, sf_dir):
     return doc_index(spark, sf_dir).postings.select(
-        "doc_id", "term", F.col("tf").cast("bigint").alias("tf"), F.col("positions")[0].cast("bigint").alias("first_pos")
+        "doc_id", "term", F.col("tf").cast("bigint").alias("tf"), F.array_join("positions", ",").alias("positions")
     )
 
 
@@ -295,17 +305,16 @@ def q_search_code(spark, sf_dir):
 
 @register("search_any")
 def q_search_any(spark, sf_dir):
-    q = conv_terms(spark, sf_dir).select(F.col("question_id").alias("query_id"), "terms")
-    return _doc_out(S.search(doc_index(spark, sf_dir), q))
+    return _doc_out(S.search(doc_index(spark, sf_dir), turn_words(spark, sf_dir)))
 
 
 @register("search_bool")
 def q_search_bool(spark, sf_dir):
     idx = doc_index(spark, sf_dir)
-    q = conv_terms(spark, sf_dir).select(F.col("question_id").alias("query_id"), "terms")
+    q = turn_words(spark, sf_dir)
     all_of = _doc_out(S.search(idx, q, mode="all")).withColumn("mode", F.lit("all"))
     nq = q.filter(F.size("terms") >= 2).select(
-        "query_id", F.slice("terms", 1, 1).alias("must"), F.slice("terms", 2, 2).alias("must_not")
+        "query_id", F.slice("terms", 1, 1).alias("must"), F.expr("slice(terms, 2, size(terms) - 1)").alias("must_not")
     )
     none_of = _doc_out(S.search_not(idx, nq)).withColumn("mode", F.lit("not"))
     return all_of.unionByName(none_of).select("query_id", "mode", "rank", "doc_id", "score")
@@ -314,23 +323,19 @@ def q_search_bool(spark, sf_dir):
 @register("search_phrase")
 def q_search_phrase(spark, sf_dir):
     bench = _read(spark, sf_dir, "benchmark")
-    q = bench.select(F.col("item_id").alias("query_id"), F.slice(F.split("text", " "), 1, 3).alias("terms"))
+    q = bench.select(F.col("item_id").alias("query_id"), F.split("text", r"\s+").alias("terms"))
     return _doc_out(S.search_phrase(doc_index(spark, sf_dir), q))
 
 
 @register("search_prefix")
 def q_search_prefix(spark, sf_dir):
-    q = conv_terms(spark, sf_dir).filter(F.size("terms") > 0).select(
-        F.col("question_id").alias("query_id"), F.substring(F.col("terms")[0], 1, 4).alias("prefix")
-    )
+    q = distinct_words(spark, sf_dir).withColumn("prefix", F.col("query_id"))
     return _doc_out(S.search_prefix(doc_index(spark, sf_dir), q))
 
 
 @register("search_fuzzy")
 def q_search_fuzzy(spark, sf_dir):
-    q = conv_terms(spark, sf_dir).filter(F.size("terms") > 0).select(
-        F.col("question_id").alias("query_id"), F.col("terms")[0].alias("word")
-    )
+    q = distinct_words(spark, sf_dir).withColumn("word", F.col("query_id"))
     return _doc_out(S.search_fuzzy(doc_index(spark, sf_dir), q))
 
 
@@ -514,7 +519,7 @@ def q_stale_nodes(spark, sf_dir):
     accepted = c.filter((F.col("status") == "success") & F.lower(F.col("target")).endswith(".java"))
     latest = accepted.groupBy(F.col("target").alias("path")).agg(F.max_by("content", "seq").alias("content"))
     fresh = X.parse(latest)
-    return G.stale_nodes(P.graph(spark, sf_dir), fresh).select("name", "class_name")
+    return G.stale_nodes(P.graph(spark, sf_dir), fresh)
 
 
 SPLIT_PATH = "/repo/src/pkg2"

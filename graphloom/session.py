@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = os.path.join("/tmp", "graphloom-checkpoints")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 

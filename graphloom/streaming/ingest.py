@@ -3,10 +3,11 @@
 A stream of ``files(path, content)`` rows (a folder that receives new parquet /
 binary files) is parsed and upserted into the graph micro-batch by micro-batch.
 The graph lives as parquet tables under a state folder: every micro-batch reads
-the current version, applies ``upsert_graph`` (batch id = upsert order), writes a
-new version and then publishes it by writing a small pointer table.  A retried
-micro-batch rewrites the same version folder (overwrite), so a lost executor or
-a restarted query converges to the same graph.
+the published version, applies ``upsert_graph``, writes the next version and then
+publishes it by a row of a small pointer table, which names the stream (its checkpoint
+folder) and the micro-batch.  A replayed micro-batch finds its own row and rewrites the
+same version from the same base; a stream with a new checkpoint goes on from the
+published version.  The last two versions are kept.
 
 There is no event time in the data, so no watermark; ``trigger(availableNow=True)``
 processes everything present and stops.
@@ -20,40 +21,59 @@ from graphloom.operators import extract as X
 from graphloom.operators import graph as G
 
 FILES_SCHEMA = "path string, content string"
+POINTER_SCHEMA = "version bigint, stream string, batch_id bigint"
 
 
 def _pointer(state_dir: str) -> str:
     return f"{state_dir.rstrip('/')}/_current"
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of the store that holds ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _published(spark: SparkSession, state_dir: str) -> list:
+    """Pointer rows (version, stream, batch_id), oldest first; none before the first batch."""
+    fs, path = _path(spark, _pointer(state_dir))
+    return spark.read.parquet(_pointer(state_dir)).orderBy("version").collect() if fs.exists(path) else []
+
+
+def _version(spark: SparkSession, state_dir: str, version: int) -> dict[str, DataFrame]:
+    base = f"{state_dir.rstrip('/')}/v{version}"
+    return G.read_graph(spark, {t: f"{base}/{t}" for t in G.GRAPH_TABLES})
+
+
 def current_graph(spark: SparkSession, state_dir: str) -> tuple[int, dict[str, DataFrame] | None]:
     """The last published (version, graph), or (0, None) before the first batch."""
-    try:
-        row = spark.read.parquet(_pointer(state_dir)).orderBy(F.col("version").desc()).first()
-    except Exception:  # no pointer yet
-        return 0, None
-    if row is None:
-        return 0, None
-    base = f"{state_dir.rstrip('/')}/v{row['version']}"
-    return row["version"], G.read_graph(spark, {t: f"{base}/{t}" for t in G.GRAPH_TABLES})
-
-
-def upsert_batch(spark: SparkSession, state_dir: str, files: DataFrame, batch_id: int) -> int:
-    """Parse micro-batch ``batch_id`` and publish graph version ``batch_id + 1``.
-
-    The batch always reads version ``batch_id`` (written by the previous batch),
-    never the newest one, so a replayed batch (after a failure between the write
-    and the offset commit) recomputes the same version from the same input.
+    rows = _published(spark, state_dir)
+    return (rows[-1]["version"], _version(spark, state_dir, rows[-1]["version"])) if rows else (0, None)
+
+
+def latest_per_path(files: DataFrame) -> DataFrame:
+    """One row per path: the version of the newest file (column ``at``, where there is one), of equal age the largest text."""
+    at = F.col("at") if "at" in files.columns else F.lit(0)
+    return files.groupBy("path").agg(F.max_by("content", F.struct(at, F.col("content"))).alias("content"))
+
+
+def upsert_batch(spark: SparkSession, state_dir: str, files: DataFrame, batch_id: int, stream: str = "") -> int:
+    """Upsert a micro-batch of ``stream`` into the published graph and publish the result as the next version.
+
+    A batch that was published before (a failure came between publishing and the offset commit) starts again
+    from the version below its own.
     """
-    version = batch_id + 1
-    graph = None
-    if batch_id > 0:
-        base = f"{state_dir.rstrip('/')}/v{batch_id}"
-        graph = G.read_graph(spark, {t: f"{base}/{t}" for t in G.GRAPH_TABLES})
-    parsed = X.parse(files)
-    new_graph = G.upsert_graph(spark, graph, parsed, batch=version)
+    rows = _published(spark, state_dir)
+    own = [r["version"] for r in rows if r["stream"] == stream and r["batch_id"] == batch_id]
+    version = own[0] if own else (rows[-1]["version"] + 1 if rows else 1)
+    graph = _version(spark, state_dir, version - 1) if version > 1 else None
+    new_graph = G.upsert_graph(spark, graph, X.parse(latest_per_path(files)), batch=version)
     G.write_graph(new_graph, f"{state_dir.rstrip('/')}/v{version}")
-    spark.createDataFrame([(version,)], "version bigint").write.mode("append").parquet(_pointer(state_dir))
+    if not own:
+        spark.createDataFrame([(version, stream, batch_id)], POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(_pointer(state_dir))
+    fs, old = _path(spark, f"{state_dir.rstrip('/')}/v{version - 2}")
+    if fs.exists(old):
+        fs.delete(old, True)
     return version
 
 
@@ -63,16 +83,16 @@ def stream_ingest(
     state_dir: str,
     checkpoint_dir: str,
     source_format: str = "parquet",
-    files_per_trigger: int | None = 1,
+    files_per_trigger: int | None = None,
 ) -> int:
     """Run the incremental ingest over everything in ``source_dir``; returns the last version."""
     reader = spark.readStream.schema(FILES_SCHEMA).format(source_format)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.load(source_dir)
+    stream = reader.load(source_dir).select("path", "content", F.col("_metadata.file_modification_time").alias("at"))
 
     def on_batch(df: DataFrame, batch_id: int) -> None:
-        upsert_batch(df.sparkSession, state_dir, df, batch_id)
+        upsert_batch(df.sparkSession, state_dir, df, batch_id, checkpoint_dir)
 
     query = (
         stream.writeStream.foreachBatch(on_batch)

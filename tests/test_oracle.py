@@ -25,10 +25,11 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle_or_is_documented():
-    assert set(QUERIES) - set(ORACLES) == {"scan_files"}
+    own = {k for k in QUERIES if k != "pipeline" and not k.startswith("op")}
+    assert own - set(ORACLES) == {"scan_files", "search_fuzzy"}
 
 
-@pytest.mark.parametrize("key", sorted(QUERIES))
+@pytest.mark.parametrize("key", sorted(k for k in QUERIES if k != "pipeline" and not k.startswith("op")))
 def test_query_matches_oracle(spark, con, key):
     df = QUERIES[key](spark, SF_DIR)
     if key not in ORACLES:

@@ -42,6 +42,12 @@ def test_policy_rules(spark):
     assert anywhere == 3  # .git, .PEM and .env; no roots means every place is allowed
 
 
+def test_invalid_paths_fail_closed(spark):
+    writes = spark.createDataFrame([(1, None, "x"), (2, "/repo/a\0.java", "x"), (3, "/repo/b.java", "x")], "seq bigint, file_path string, content string")
+    got = {r["seq"]: (r["status"], r["reason"]) for r in PO.classify_writes(writes, ["/repo"]).collect()}
+    assert got == {1: ("error", L.MSG_INVALID_PATH), 2: ("error", L.MSG_INVALID_PATH), 3: ("success", None)}
+
+
 def test_apply_writes_last_wins(spark):
     files = spark.createDataFrame([("/r/a", "old"), ("/r/b", "keep")], "path string, content string")
     writes = spark.createDataFrame([(1, "/r/a", "v1"), (3, "/r/./a", "v3"), (2, "/r/a", "v2"), (4, "/r/c", "new")],
@@ -55,7 +61,7 @@ def _py_key_terms(q):
     return list(dict.fromkeys(w for w in words if w not in set(L.STOP_WORDS) and len(w) > 2))[:3]
 
 
-@pytest.mark.parametrize("q", ["How does beneficiary registration work?", "What is the, the, foo.bar of x?",
+@pytest.mark.parametrize("q", ["How does the harbour pilot board a ship?", "What is the, the, foo.bar of x?",
                                "  tell me   about PatientService.register  and register ", "a an the", ""])
 def test_key_terms(spark, q):
     got = spark.createDataFrame([(q,)], "q string").select(TX.key_terms(F.col("q"))).first()[0]
