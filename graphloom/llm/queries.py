@@ -97,4 +97,4 @@ def registered(query: Query) -> Query:
 
 REGISTRY: dict[str, Query] = {f.__name__: registered(f) for f in (
     op1_sharding, op2_token_counts, op3_license_scan, op4_decontaminate, op5_toxicity, op6_byte_bpe, op7_spotsigs, op8_jaccard_join, op9_language_id, op10_mixing_lm)}
-ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE}
