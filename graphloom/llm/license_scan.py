@@ -129,7 +129,8 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     model = classifier()
     singles = [g for g in model.vocabulary if " " not in g]
     pairs = [g for g in model.vocabulary if " " in g]
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.posexplode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "\n")).alias("paragraph", "line"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lines = rows.select("row", "id", F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")).alias("paragraph", "line"))
     words = F.filter(F.split("line", r"[^a-z0-9\x80-\x{10FFFF}]+"), lambda w: w != "")
     lines = lines.select("row", "id", "paragraph", F.inline(F.array(F.struct(words.alias("w")))))
     two = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
