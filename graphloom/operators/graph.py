@@ -245,7 +245,7 @@ def calls_settled(parsed: DataFrame, method_nodes: DataFrame) -> DataFrame:
         F.col("name").alias("src_name"), F.col("class_name").alias("src_class"), "callee"
     ).distinct()
     nodes = method_nodes.select(F.col("name").alias("_n"), F.col("class_name").alias("dst_class"))
-    return refs.join(nodes, F.col("callee") == F.col("_n")).select(
+    return salted_join(refs, nodes, "callee", "_n").select(
         "src_name", "src_class", F.col("callee").alias("dst_name"), "dst_class"
     )
 
@@ -256,7 +256,7 @@ def depends_on_settled(parsed: DataFrame, class_nodes: DataFrame) -> DataFrame:
         F.col("class_name").alias("src_name"), F.col("path").alias("src_file_path"), "dep"
     ).distinct()
     nodes = class_nodes.select(F.col("name").alias("_n"), F.col("file_path").alias("dst_file_path"))
-    return refs.join(nodes, F.col("dep") == F.col("_n")).select(
+    return salted_join(refs, nodes, "dep", "_n").select(
         "src_name", "src_file_path", F.col("dep").alias("dst_name"), "dst_file_path"
     )
 
