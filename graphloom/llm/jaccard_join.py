@@ -3,9 +3,10 @@
 Sets of word shingles are ordered rarest first, and each set is listed under its first few shingles only.  A list is
 searched with position and size at hand: where the rest behind the two positions can't reach the overlap that the sizes
 ask for, the entry is skipped.  Answers are derived rather than searched again where sets are related: equal sets are
-one set; each list first asks only its first set of each size class (its pivot); lists whose sets already hang together
-are skipped; and a pair measured against a common pivot is decided by its differences to it where these suffice.
-Only what is left is compared element by element.
+one set; each list first asks only one set of each size class (its pivot: the one with the fewest rarer shingles, as the
+original of a group of copies has); lists whose sets already hang together are skipped; and a pair measured against a
+common pivot is decided by its differences to it where these suffice.  Of the pairs left, those whose listed shingles
+alone differ by more than the threshold allows are dropped; only the rest is compared element by element.
 """
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ from graphloom.llm.arrow import NOT_SPACE, mix, slices, text_buffer, words
 from graphloom.llm.components import components, written
 
 #: Cells of the count sketch that orders shingles by frequency; a fixed size, and only the order depends on it.
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 SLICE_BYTES = 2 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -135,6 +136,40 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
+def sieve(pairs: DataFrame, classes: DataFrame, frequency: np.ndarray, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose listed shingles leave the threshold within reach.
+
+    Up to the end of the list that ends first in the common order, a shingle that only one of the two lists holds is
+    not in the other set at all; these shingles must not outnumber the difference that the sizes allow.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(frequency)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            (xv, xb), (yv, yb) = (_flat(batch.column(i)) for i in (4, 5))
+            xr, yr = (rarity[(v >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] for v in (xv, yv))
+            near = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y, u, v = xv[xb[i] : xb[i + 1]], yv[yb[i] : yb[i + 1]], xr[xb[i] : xb[i + 1]], yr[yb[i] : yb[i + 1]]
+                r, h = min((int(u[-1]), int(x[-1])), (int(v[-1]), int(y[-1])))
+                x, y = x[(u < r) | ((u == r) & (x <= h))], y[(v < r) | ((v == r) & (y <= h))]
+                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
+                near[i] = apart * (num + den) <= (na[i] + nb[i]) * (den - num)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+
+    own = classes.select("cid", "n", "prefix")
+    half = pairs.select("a", "b").join(own.toDF("b", "nb", "pb"), "b")
+    full = half.join(own.toDF("a", "na", "pa"), "a")
+    return full.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(keep, "a long, b long")
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and the bounds of its rows among them."""
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+
+
 def sets_of(docs: DataFrame, size: int, wanted: DataFrame, text_col: str) -> DataFrame:
     """(cid, elements) of the wanted classes (cid, d0, d1), written.  The scan is sent a bit map of their digests
     (2 MB at most, so all sets pass it beyond some millions; the join after it is exact)."""
@@ -159,10 +194,8 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            xv, yv = (c.flatten().to_numpy().view(np.uint64) for c in (x, y))
-            xb, yb = (np.asarray(c.offsets) - c.offsets[0].as_py() for c in (x, y))
-            same, last, own = np.zeros(batch.num_rows, np.int64), None, None
+            (xv, xb), (yv, yb) = _flat(batch.column(2)), _flat(batch.column(3))
+            same = np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
                 one, other = xv[xb[i] : xb[i + 1]], yv[yb[i] : yb[i + 1]]
                 at = np.searchsorted(one, other)
@@ -189,9 +222,10 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
     often = listed.groupBy("h").agg(F.count("*").alias("of")).where("of > 1").select("h")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(2 * den / (num + den))))
     lists = written(listed.join(often, "h").withColumn("band", band), "lists")
-    pivots = lists.groupBy("h", "band").agg(F.min(F.struct("cid", "n", "pos")).alias("p")).select("h", "band", "p.*")
+    pivots = lists.groupBy("h", "band").agg(F.min(F.struct("pos", "cid", "n")).alias("p")).select("h", "band", "p.*")
     first = _pairs(lists.alias("x").join(pivots.alias("y"), ["h", "band"]).where(_reaches(num, den) & (F.col("x.cid") != F.col("y.cid"))))
-    first = written(first, "first")
+    tried = written(first, "first")
+    first = written(sieve(tried, classes, frequency, num, den), "asked")
 
     meets = F.col("same") * den >= (F.col("na") + F.col("nb") - F.col("same")) * num
     ids = classes.select("cid", "d0", "d1")
@@ -208,7 +242,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
     mixed = inside.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
     rest = written(inside.join(mixed, "h"), "rest")
     second = _pairs(rest.alias("x").join(rest.alias("y"), "h").where((F.col("x.cid") < F.col("y.cid")) & (F.col("x.component") != F.col("y.component")) & _reaches(num, den)))
-    second = second.join(first, ["a", "b"], "left_anti")
+    second = second.join(tried, ["a", "b"], "left_anti")
 
     # Differences to a pivot: of two sets that share one, the difference lies between those of their differences' sizes.
     each = known.select("a", "b", "na", "nb", (F.col("na") + F.col("nb") - 2 * F.col("same")).alias("off"))
@@ -219,7 +253,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
     most = (F.col("na") + F.col("nb")) * (den - num)  # a difference d links when d * (den + num) is at most this
     told = told.withColumn("answer", F.when(F.col("pa") == F.col("pb"), F.when((F.col("oa") + F.col("ob")) * (den + num) <= most, F.lit(1)).when(F.abs(F.col("oa") - F.col("ob")) * (den + num) > most, F.lit(0))))
     told = written(told.select("a", "b", "answer"), "second")
-    open_ = told.where("answer is null").select("a", "b")
+    open_ = written(sieve(told.where("answer is null").select("a", "b"), classes, frequency, num, den), "open")
     late = measure(open_, sets_of(docs, size, needed(open_), text_col)).where(meets).select("a", "b")
     links = written(links.union(told.where("answer = 1").select("a", "b")).union(late), "links")
     parts = components(links)
