@@ -1,6 +1,7 @@
 """Language, toxicity, licences and the context-mixing scores: held-out accuracy, exact parts, awkward rows."""
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -150,3 +151,38 @@ def test_word_probabilities_are_proper():
     model = mixing_lm.Model(code, tables, gate, [np.full((mixing_lm.GATES, mixing_lm.ORDERS + 1), 0.2)], np.zeros(0), np.zeros(0), 0, 0, 0)
     every = [bytes((b,)) for b in range(256)]
     assert (10 ** model.spell(every)).sum(0) == pytest.approx(1.0, abs=1e-4)
+
+
+def test_mixing_reads_over_word_borders_and_learns_along_the_text(spark, monkeypatch):
+    """The order of the words counts, and the weights of a document change as it goes on."""
+    rng = random.Random(5)
+    follow = {}
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+    for w in vocabulary:
+        follow[w] = rng.sample(vocabulary, 2)
+
+    def fluent(n):
+        out = [rng.choice(vocabulary)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    model, counts = mixing_lm.learn(spark.createDataFrame([(i, " ".join(fluent(100))) for i in range(80)], "doc_id long, text string"))
+    words = fluent(300)
+    mixed = words[:]
+    rng.shuffle(mixed)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(mixed))], "doc_id long, text string")
+    got = {r.doc_id: r.bits_per_byte for r in mixing_lm.score(docs, model, counts).collect()}
+    assert got[1] < 0.7 * got[2]
+
+    hashes = np.arange(1, len(vocabulary) + 1, dtype=np.uint64)
+    index = np.array([vocabulary.index(w) for w in mixed])
+
+    def along():
+        choices, walk = [], mixing_lm.Walk(np.zeros(len(index), np.int64), index, 1, hashes, [w.encode() for w in vocabulary])
+        model.spell(walk.spelled, choices)
+        return model.along(walk, 1, np.zeros(len(walk.index)), choices)[0]
+
+    learned = along()
+    monkeypatch.setattr(mixing_lm, "STEP", 0.0)
+    assert learned > along() + 1
