@@ -186,3 +186,14 @@ def test_mixing_reads_over_word_borders_and_learns_along_the_text(spark, monkeyp
     learned = along()
     monkeypatch.setattr(mixing_lm, "STEP", 0.0)
     assert learned > along() + 1
+
+
+def test_scores_do_not_depend_on_the_number_of_head_words(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    found = []
+    for heads in (1 << 18, 10):
+        monkeypatch.setattr(mixing_lm, "HEAD_WORDS", heads)
+        model, counts = mixing_lm.learn(docs.where(queries.remainder(7) != 2))
+        found.append(sorted((repr(r.doc_id), r.score) for r in mixing_lm.score(docs, model, counts).collect()))
+    assert [f[0] for f in found[0]] == [f[0] for f in found[1]]
+    assert [f[1] for f in found[0]] == pytest.approx([f[1] for f in found[1]], rel=1e-6)
