@@ -30,10 +30,10 @@ DISGUISE = str.maketrans("0134578@$!", "oieastbasi")
 
 WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"(?<![^\W_])[^\W_]*[^\W\d_](?:[0-9@$!*]+[^\W\d_])+[^\W_]*|(?<!\w)(?:[^\W\d_][.\-_*]){3,}[^\W\d_](?!\w)")
-#: Bytes that are capitals, parts of letters, or signs that can stand in a masked word.
+#: Bytes that are capitals, parts of letters, or signs that can stand in a masked word (in runs, or one between letters).
 UPPER = bytes(range(65, 91))
 LETTER = mask(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
-SIGN = mask(lambda b: 48 <= b <= 57 or b in b"@$!*.-_")
+SIGN, JOINT = mask(lambda b: 48 <= b <= 57 or b in b"@$!*"), mask(lambda b: b in b".-_*")
 RUN = re.compile(r"([^\W\d_])\1{2,}")
 SHOUT = re.compile(r"[!?]{2,}")
 NAMES = ["hits", "hit_rate", "kinds", "near_you", "you_rate", "capitals", "shouted", "marks", "mark_runs", "masked",
@@ -65,6 +65,18 @@ class Lexicon(dict):
         return Lexicon, (self.weights,)
 
 
+def may_mask(signs: np.ndarray) -> bool:
+    """False only where MASKED finds nothing in the text of these bytes."""
+    letter = LETTER[signs]
+    return bool((letter[:-1] & SIGN[signs[1:]]).any() or (letter[:-2] & JOINT[signs[1:-1]] & letter[2:]).any())
+
+
+def may_run(low: str) -> bool:
+    """False only where RUN finds nothing in the lowered text."""
+    c = np.frombuffer(low.encode(), np.uint8) if low.isascii() else np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return bool((LETTER[np.minimum(c[2:], 128)] & (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2])).any())
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The dense features of one whole text, in the order of NAMES; all 0 for null and empty texts."""
     text = text or ""
@@ -80,12 +92,11 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     raw = text.encode("utf-8", "replace")
     capitals = len(raw) - len(raw.translate(None, UPPER))
     signs = np.frombuffer(raw, np.uint8)
-    letter = LETTER[signs]
     marks = text.count("!") + text.count("?")
-    masked = MASKED.findall(text) if (letter[:-2] & SIGN[signs[1:-1]] & letter[2:]).any() else []
+    masked = MASKED.findall(text) if may_mask(signs) else []
     clear = [re.sub(r"[^\w]|_", "", m.lower().translate(DISGUISE)) for m in masked]
     masked_hits = sum(1 for w in clear if lexicon[w] > 0)
-    runs = RUN.findall(low) if (letter[2:] & (signs[2:] == signs[1:-1]) & (signs[1:-1] == signs[:-2])).any() else []
+    runs = RUN.findall(low) if may_run(low) else []
     if runs:
         masked_hits += sum(1 for w in found if RUN.search(w) and lexicon[RUN.sub(r"\1", w)] > 0)
     total = sum(weight)

@@ -197,3 +197,18 @@ def test_scores_do_not_depend_on_the_number_of_head_words(spark, monkeypatch):
         found.append(sorted((repr(r.doc_id), r.score) for r in mixing_lm.score(docs, model, counts).collect()))
     assert [f[0] for f in found[0]] == [f[0] for f in found[1]]
     assert [f[1] for f in found[0]] == pytest.approx([f[1] for f in found[1]], rel=1e-6)
+
+
+def test_disguised_words_count_whatever_else_the_text_holds(monkeypatch):
+    """Features are the same with the quick tests before the patterns and without them."""
+    lexicon = toxicity.Lexicon({})
+    masked, hits, runs = (toxicity.NAMES.index(k) for k in ("masked", "masked_hits", "runs"))
+    rng = random.Random(3)
+    alone = ["f**k", "st**id", "id!0t", "a$$hole", "1d10t", "s.t.u.p.i.d", "Iiidiot", "Ttt", "Ééé", "sTuUupid"]
+    texts = alone + ["".join(rng.choice("aAbé0*!.-_ ß") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    got = [toxicity.features(t, lexicon) for t in texts]
+    assert all(g[masked] > 0 for g in got[:6]) and all(g[runs] > 0 for g in got[6:10])
+    assert got[2][hits] > 0 and got[6][hits] > 0
+    monkeypatch.setattr(toxicity, "may_mask", lambda signs: True)
+    monkeypatch.setattr(toxicity, "may_run", lambda low: True)
+    assert got == [toxicity.features(t, lexicon) for t in texts]
