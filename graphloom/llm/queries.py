@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, decontaminate, jaccard_join, langid, license_scan, mixing_lm, sharding, spotsigs, token_counts, toxicity
+from graphloom.llm import (byte_bpe, collocations, decontaminate, jaccard_join, langid, license_scan, mixing_lm, mixture, sharding, spotsigs, token_counts, toxicity,
+                           whitening)
 from graphloom.llm.ship import ship
 from graphloom.session import ensure_checkpoint_dir
 
@@ -85,6 +86,22 @@ def op10_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", remainder(7) == 2)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened to 16 components by polarisation covariance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' targets; a document marked good counts four times one marked bad."""
+    quality = table(spark, sf_dir, "labels").select("doc_id", (F.lit(0.5) + F.lit(1.5) * F.col("quality")).alias("weight"))
+    return mixture.mix(table(spark, sf_dir, "documents"), quality)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language over all documents by multikey quicksort of suffix pointers."""
+    return collocations.mine(table(spark, sf_dir, "documents"), depth=5, least=100, top=2000)
+
+
 def registered(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
@@ -96,5 +113,7 @@ def registered(query: Query) -> Query:
 
 
 REGISTRY: dict[str, Query] = {f.__name__: registered(f) for f in (
-    op1_sharding, op2_token_counts, op3_license_scan, op4_decontaminate, op5_toxicity, op6_byte_bpe, op7_spotsigs, op8_jaccard_join, op9_language_id, op10_mixing_lm)}
-ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE}
+    op1_sharding, op2_token_counts, op3_license_scan, op4_decontaminate, op5_toxicity, op6_byte_bpe, op7_spotsigs, op8_jaccard_join, op9_language_id, op10_mixing_lm,
+    op11_whitening, op12_mixture, op13_collocations)}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE,
+                           "op12_mixture": mixture.ORACLE, "op13_collocations": collocations.ORACLE}
