@@ -171,7 +171,8 @@ def _file_records(segs: DataFrame) -> DataFrame:
 
 
 def parse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """B11: files(path, content) -> parsed (one row per file, nothing dropped)."""
+    """B11: files(path, content[, error]) -> parsed (one row per file, nothing dropped).  A null content is a failed
+    file; its reason is ``error`` where the files come with one (B10)."""
     keyed = key_files(files, num_partitions)
     # rows that repeat a path and content are lexed once and share their record
     recs = _file_records(segments(token_table(keyed.dropDuplicates(FILE_KEY))))
@@ -193,7 +194,7 @@ def parse(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
         F.array_sort(F.col("d")),
         lambda x: F.substring(content, x["start"] + 1, x["end"] - x["start"]),
     )
-    error = F.when(content.isNull(), F.lit("unreadable file"))
+    error = F.when(content.isNull(), F.coalesce(F.col("error"), F.lit("unreadable file")))
     return joined.select(
         "path",
         F.coalesce(F.col("first_class"), stem).alias("class_name"),

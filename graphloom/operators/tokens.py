@@ -33,7 +33,7 @@ def file_partitions(files: DataFrame) -> int:
 
 
 def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """files(path, content) -> (fid, fh, path, content), hash-partitioned by the file key.
+    """files(path, content[, error]) -> (fid, fh, path, content, error), hash-partitioned by the file key.
 
     The partition count is explicit (by the text's length, see ``file_partitions``): the
     shuffle carries compact file text that later explodes ~10x into token rows, so AQE
@@ -45,6 +45,7 @@ def key_files(files: DataFrame, num_partitions: int | None = None) -> DataFrame:
         F.hash("path", "content").alias("fh"),
         "path",
         "content",
+        (F.col("error") if "error" in files.columns else F.lit(None).cast("string")).alias("error"),
     )
     n = num_partitions or file_partitions(files)
     return keyed.repartition(n, *FILE_KEY)

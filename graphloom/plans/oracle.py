@@ -167,7 +167,7 @@ _corpus("call_names", """
 SELECT m.path, m.ord, CAST(c.call_ord AS BIGINT) AS call_ord, c.callee
 FROM c_call c JOIN c_method m ON m.path = c.path AND m.p = c.p""")
 _corpus("method_source", "SELECT path, ord, source_code FROM c_method")
-_corpus("parse_errors", "SELECT path, CAST(NULL AS VARCHAR) AS error FROM c_file WHERE 1 = 0")
+_corpus("parse_errors", "SELECT path, 'No such file or directory' AS error FROM c_file WHERE s % 7 = 3")
 _corpus("parsed_files", """
 SELECT f.path, f.class_name, f.stereotype,
   CAST(2 + CASE WHEN f.s % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_deps,
@@ -175,9 +175,9 @@ SELECT f.path, f.class_name, f.stereotype,
 FROM c_file f LEFT JOIN c_method m ON m.s = f.s
 GROUP BY f.path, f.class_name, f.stereotype, f.s""")
 _corpus("ingest_summary", """
-SELECT (SELECT count(*) FROM c_file) AS total_files, (SELECT count(*) FROM c_file) AS success_files,
-  CAST(0 AS BIGINT) AS failed_files, (SELECT count(*) FROM c_file) AS total_classes,
-  (SELECT count(*) FROM c_method) AS total_methods, CAST(0 AS BIGINT) AS n_errors""")
+SELECT count(*) AS total_files, count_if(s % 7 <> 3)::BIGINT AS success_files, count_if(s % 7 = 3)::BIGINT AS failed_files,
+  count_if(s % 7 <> 3)::BIGINT AS total_classes, (SELECT count(*) FROM c_method WHERE s % 7 <> 3) AS total_methods,
+  count_if(s % 7 = 3)::BIGINT AS n_errors FROM c_file""")
 
 # --------------------------------------------------------------------- graph
 _corpus("file_nodes", "SELECT path, class_name || '.java' AS name FROM c_file")
@@ -447,6 +447,13 @@ ORACLES["decode_text"] = (
     "FROM documents")
 
 _URL = r"^[a-z]+://[^/]+(/[^?#]*)"
+ORACLES["scan_files"] = """
+WITH t AS (SELECT doc_id % 6 AS kind, CAST(doc_id AS VARCHAR) AS i, doc_id % 10 AS d, text FROM documents WHERE text IS NOT NULL),
+f AS (SELECT CASE kind WHEN 0 THEN '/a/' WHEN 1 THEN '/a/' WHEN 2 THEN '/.hidden/b/' WHEN 3 THEN '/_build/' ELSE '/a/Folder' || d || '.java/' END AS folder,
+    CASE kind WHEN 0 THEN 'Doc' WHEN 1 THEN '_Doc' WHEN 2 THEN '.Doc' WHEN 3 THEN 'Empty' ELSE 'Doc' END || i || '.java' AS name,
+    CASE WHEN kind = 3 THEN '' ELSE text END AS text FROM t WHERE kind <> 5)
+SELECT folder || name AS path, name, CAST(strlen(text) AS BIGINT) AS length, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS content,
+  CAST(NULL AS VARCHAR) AS error FROM f"""
 ORACLES["path_parts"] = f"""
 WITH x AS (SELECT page_id, regexp_extract(url, '{_URL}', 1) AS path FROM pages),
 y AS (SELECT page_id, path, string_split(path, '/')[-1] AS name FROM x)

@@ -17,10 +17,10 @@ _MEMO: dict[tuple, object] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
-    return (id(spark), sf_dir.rstrip("/"), what)
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
 
 
-def _memo(spark: SparkSession, sf_dir: str, what: str, build):
+def memo(spark: SparkSession, sf_dir: str, what: str, build):
     k = _key(spark, sf_dir, what)
     if k not in _MEMO:
         _MEMO[k] = build()
@@ -32,11 +32,11 @@ def _persist(df: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "files", lambda: _persist(C.corpus_files(spark, sf_dir)))
+    return memo(spark, sf_dir, "files", lambda: _persist(C.corpus_files(spark, sf_dir)))
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "parsed", lambda: _persist(X.parse(files(spark, sf_dir))))
+    return memo(spark, sf_dir, "parsed", lambda: _persist(X.parse(files(spark, sf_dir))))
 
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +48,11 @@ def graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         g = G.build_graph(spark, parsed(spark, sf_dir), materialize=False)
         return {k: _persist(v) for k, v in g.items()}
 
-    return _memo(spark, sf_dir, "graph", build)
+    return memo(spark, sf_dir, "graph", build)
 
 
 def settled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(
+    return memo(
         spark,
         sf_dir,
         "calls_settled",

@@ -18,7 +18,8 @@ from graphloom.operators import graph as G
 from graphloom.operators import tokens as TK
 from graphloom.operators import traverse as TR
 from graphloom.plans import pipeline as P
-from graphloom.session import ensure_checkpoint_dir
+from graphloom.session import ensure_checkpoint_dir, scratch_path
+from graphloom.sources import files as SRC
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -88,9 +89,25 @@ def q_method_source(spark, sf_dir):
     return P.methods(spark, sf_dir).select("path", "ord", "source_code")
 
 
+def _manifest_parsed(spark, sf_dir) -> DataFrame:
+    """B10: the corpus as real files of which every seventh never reached the disk, read by a manifest that names all:
+    each of those is a failed row."""
+
+    def build():
+        files = P.files(spark, sf_dir)
+        root = scratch_path(spark, "manifest")
+        number = F.regexp_extract("path", r"(\d+)\.java$", 1).cast("long")
+        SRC.write_files(files.where(number % 7 != 3), root)
+        manifest = files.select(F.concat(F.lit(root), F.col("path")).alias("path"))
+        read = SRC.read_tree(manifest)
+        return X.parse(read.select(F.substring("path", len(root) + 1, 1 << 30).alias("path"), TX.decode_text(F.col("content")).alias("content"), "error"))
+
+    return P.memo(spark, sf_dir, "manifest", build)
+
+
 @register("parse_errors")
 def q_parse_errors(spark, sf_dir):
-    return G.parse_errors(P.parsed(spark, sf_dir)).select("path", F.col("message").alias("error"))
+    return G.parse_errors(_manifest_parsed(spark, sf_dir)).select("path", F.col("message").alias("error"))
 
 
 @register("parsed_files")
@@ -107,7 +124,7 @@ def q_parsed_files(spark, sf_dir):
 
 @register("ingest_summary")
 def q_ingest_summary(spark, sf_dir):
-    return G.ingest_summary(P.parsed(spark, sf_dir))
+    return G.ingest_summary(_manifest_parsed(spark, sf_dir))
 
 
 # --------------------------------------------------------------------- graph
@@ -212,11 +229,11 @@ from graphloom.functions import text as TX  # noqa: E402
 
 def doc_index(spark, sf_dir) -> S.Index:
     docs = _read(spark, sf_dir, "documents")
-    return P._memo(spark, sf_dir, "doc_index", lambda: S.build_index(docs, ["doc_id"], {"text": F.col("text")}).checkpoint())
+    return P.memo(spark, sf_dir, "doc_index", lambda: S.build_index(docs, ["doc_id"], {"text": F.col("text")}).checkpoint())
 
 
 def code_index(spark, sf_dir) -> S.Index:
-    return P._memo(spark, sf_dir, "code_index", lambda: S.method_index(P.graph(spark, sf_dir)["method_nodes"]).checkpoint())
+    return P.memo(spark, sf_dir, "code_index", lambda: S.method_index(P.graph(spark, sf_dir)["method_nodes"]).checkpoint())
 
 
 def conv_questions(spark, sf_dir) -> DataFrame:
@@ -358,7 +375,7 @@ def _context(spark, sf_dir):
             all_questions(spark, sf_dir), code_index(spark, sf_dir), g["method_nodes"], P.settled_calls(spark, sf_dir)
         )
 
-    return P._memo(spark, sf_dir, "context", build)
+    return P.memo(spark, sf_dir, "context", build)
 
 
 def _hits(spark, sf_dir):
@@ -403,18 +420,36 @@ def q_question_status(spark, sf_dir):
 
 # ------------------------------------------------------------ sources / sinks
 from graphloom.operators import policy as PO  # noqa: E402
-from graphloom.session import scratch_path  # noqa: E402
-from graphloom.sources import files as SRC  # noqa: E402
 from graphloom.streaming import ingest as ST  # noqa: E402
 
 URL_PATH = r"^[a-z]+://[^/]+(/[^?#]*)"
 WRITE_ROOTS = "/repo/src:/repo/en ; /repo/de"
 
 
+def source_tree(spark, sf_dir) -> DataFrame:
+    """Documents as files of a tree: plain, underscore and hidden names, empty files, folders named like files, and
+    suffixes in capitals (which no scan for ``*.java`` finds)."""
+    docs = _read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    i, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    path = (
+        F.when(kind == 0, F.concat(F.lit("/a/Doc"), i, F.lit(".java")))
+        .when(kind == 1, F.concat(F.lit("/a/_Doc"), i, F.lit(".java")))
+        .when(kind == 2, F.concat(F.lit("/.hidden/b/.Doc"), i, F.lit(".java")))
+        .when(kind == 3, F.concat(F.lit("/_build/Empty"), i, F.lit(".java")))
+        .when(kind == 4, F.concat(F.lit("/a/Folder"), (F.col("doc_id") % 10).cast("string"), F.lit(".java/Doc"), i, F.lit(".java")))
+        .otherwise(F.concat(F.lit("/a/Doc"), i, F.lit(".JAVA")))
+    )
+    return docs.select(path.alias("path"), F.when(kind == 3, F.lit("")).otherwise(F.col("text")).alias("content"))
+
+
 @register("scan_files")
 def q_scan_files(spark, sf_dir):
-    """A1 over the data folder itself (the given tables, as files)."""
-    return SRC.scan_files(spark, sf_dir, glob="*.parquet", with_content=False).select("name", "length")
+    """A1: documents written as a tree of files, listed and read back."""
+    root = scratch_path(spark, "source-tree")
+    SRC.write_files(source_tree(spark, sf_dir), root)
+    found = SRC.scan_files(spark, root)
+    top = SRC.local_path(root) or root
+    return found.select(F.substring("path", len(top) + 1, 1 << 30).alias("path"), "name", "length", "content", "error")
 
 
 @register("decode_text")

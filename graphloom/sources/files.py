@@ -5,30 +5,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.sources.tree import list_tree, local_path, read_tree, write_files  # noqa: F401
 
 
-def scan_files(spark: SparkSession, root: str, glob: str = "*.java", with_content: bool = True) -> DataFrame:
-    """A1: recursive scan of ``root`` for files matching ``glob``.
+def scan_files(spark: SparkSession, root: str, glob: str = "*.java", with_content: bool = True, folders: str = "skip") -> DataFrame:
+    """A1: every file under ``root`` whose name matches ``glob``: ``path, name, length, error`` and, with
+    ``with_content``, the decoded ``content`` (null where ``error`` says why the file can't be read).
 
-    Uses the binaryFile source, so listing and reading are distributed.  Returns
-    ``path, name, length`` and, with ``with_content``, the decoded ``content``.
-    Note: like any Hadoop listing it skips hidden (``.x``/``_x``) entries.
-    A missing root raises, as the walk it replaces does.
+    Hidden, underscore and empty files count.  A missing root raises.  See ``sources.tree``.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-    )
-    df = reader.load(root)
-    cols = [
-        T.strip_scheme(F.col("path")).alias("path"),
-        T.file_name(T.strip_scheme(F.col("path"))).alias("name"),
-        F.col("length"),
-    ]
-    if with_content:
-        cols.append(T.decode_text(F.col("content")).alias("content"))
-    return df.select(*cols)
+    found = list_tree(spark, root, glob, folders)
+    if not with_content:
+        return found
+    return read_tree(found).select("path", "name", "length", T.decode_text(F.col("content")).alias("content"), "error")
 
 
 def files_from_binary(df: DataFrame, path_col: str = "path", bytes_col: str = "content") -> DataFrame:

@@ -117,4 +117,4 @@ def test_upsert_never_deletes(spark):
     assert names == {"a", "b", "c"}
     assert g2["calls"].count() == 1
     stale = {tuple(r) for r in G.stale_nodes(g2, X.parse(v2)).collect()}
-    assert stale == {("a", "A"), ("b", "A")}
+    assert stale == {("method", "a", "A"), ("method", "b", "A")}

@@ -26,7 +26,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle_or_is_documented():
     own = {k for k in QUERIES if k != "pipeline" and not k.startswith("op")}
-    assert own - set(ORACLES) == {"scan_files", "search_fuzzy"}
+    assert own - set(ORACLES) == {"search_fuzzy"}
 
 
 @pytest.mark.parametrize("key", sorted(k for k in QUERIES if k != "pipeline" and not k.startswith("op")))
