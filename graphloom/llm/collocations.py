@@ -1,11 +1,12 @@
 """Phrase collocations by multikey three-way quicksort of suffix pointers.
 
-Every word occurrence is a suffix: the words from there to the end of its piece, five at most.  One pass counts the
-words; a phrase of a rare word is rare, so a second pass cuts each suffix before its first rare word (a bit map of the
-frequent words, whose false positives only let more through) and counts equal suffixes of a slice once.  Suffixes are
-routed globally by their leading words, and each route is sorted by the multikey quicksort: a segment is split by one
-word into smaller, equal and larger; the weight of the equal part is the count of that phrase and it is split further by
-the next word; parts lighter than the least count are abandoned at once.
+Every word occurrence is a suffix: the words from there to the end of its piece, five at most.  Partitions by the first
+one and two words are settled for the whole corpus first: one pass counts the words, a second one the pairs of frequent
+words by a hash (5 bytes a pair and slice), and a phrase that holds a rare word or pair is rare.  The third pass cuts each
+suffix before its first rare pair (bit maps of bounded size, whose false positives only let more through) and counts
+equal suffixes of a slice once.  Suffixes are routed globally by their leading words, and each route is sorted by the
+multikey quicksort: a segment is split by one word into smaller, equal and larger; the weight of the equal part is the
+count of that phrase and it is split further by the next word; parts lighter than the least count are abandoned at once.
 
 Routing takes two leading words, or more while all of them are words that many suffixes begin with: a phrase with one
 less frequent word is no more frequent than that, so no route is much larger than the others.  Shorter phrases of such
@@ -26,8 +27,9 @@ from graphloom.llm.components import written
 
 #: Text of a slice, and suffixes of a route (about).
 SLICE_BYTES, ROUTE_SUFFIXES = 4 << 20, 1 << 20
-#: Bits of the map of frequent words (2 MB), and the largest number of routes; heavy words are at most as many.
-MAP_BITS, ROUTES = 24, 1 << 20
+#: Bits of the maps of frequent words (2 MB) and pairs (8 MB), and the largest number of routes; heavy words are at most
+#: as many.
+MAP_BITS, PAIR_BITS, ROUTES = 24, 26, 1 << 20
 BREAK = mask(lambda b: chr(b) in ".,;:!?\n\x0b\x0c\r")
 IN_WORD = mask(lambda b: chr(b) not in " \t.,;:!?\n\x0b\x0c\r")
 NO_LANG = "und"
@@ -120,27 +122,85 @@ def word_hashes(frequent: DataFrame) -> DataFrame:
     return frequent.select("lang", "word").mapInArrow(scan, "h long")
 
 
-def suffixes(docs: DataFrame, depth: int, routes: int, known: np.ndarray, heavy: np.ndarray) -> DataFrame:
+def _marked(bits: np.ndarray, code: np.ndarray, width: int) -> np.ndarray:
+    cell = (code >> np.uint64(64 - width)).astype(np.int64)
+    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _pairs(part: Slice, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the pairs of neighbouring frequent words inside a piece."""
+    frequent = _marked(known, part.code, MAP_BITS)
+    at = np.flatnonzero(frequent[:-1] & frequent[1:] & (part.last[:-1] > np.arange(part.n - 1)))
+    return at, mix(part.code[at] * np.uint64(0x9E3779B97F4A7C15) + part.code[at + 1])
+
+
+def frequent_pairs(docs: DataFrame, known: np.ndarray, least: int, routes: int, tasks: int) -> np.ndarray:
+    """Packed bit map over the hashes of pairs that may occur ``least`` times or more.
+
+    Pairs are dealt by the top bits of their hash; of the rest 32 bits are kept, so that different pairs may share a
+    count: it is never too low.  A bucket gives its stretch of the map, so the driver gets the map and no more.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    top = min(max(8, (routes - 1).bit_length()), PAIR_BITS - 3)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in _each(batches):
+            _, code = _pairs(part, shared.value)
+            code, n = np.unique(code >> np.uint64(32 - top), return_counts=True)
+            bucket = (code >> np.uint64(32)).astype(np.int64)
+            heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = np.append(heads[1:], len(code))
+            low, n = (code & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(n, least).astype("<u4" if least > 255 else "u1")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int32)), pa.array([low[i:j].tobytes() for i, j in zip(heads, ends)], pa.binary()),
+                                              pa.array([n[i:j].tobytes() for i, j in zip(heads, ends)], pa.binary())], ["bucket", "low", "n"])
+
+    def bits(low: list[bytes], n: list[bytes]) -> bytes:
+        cells, at = np.unique(np.frombuffer(b"".join(low), "<u4"), return_inverse=True)
+        weight = np.bincount(at, np.frombuffer(b"".join(n), "<u4" if least > 255 else "u1").astype(np.float64))
+        out = np.zeros(1 << (PAIR_BITS - top), bool)
+        out[cells[weight >= least].astype(np.int64) >> (32 - (PAIR_BITS - top))] = True
+        return np.packbits(out).tobytes()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, low, n = None, [], []
+        for batch in batches:
+            for b, x, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if b != bucket:
+                    if low:
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([bits(low, n)], pa.binary())], ["bucket", "bits"])
+                    bucket, low, n = b, [], []
+                low.append(x)
+                n.append(y)
+        if low:
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([bits(low, n)], pa.binary())], ["bucket", "bits"])
+
+    found = docs.mapInArrow(scan, "bucket int, low binary, n binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "bucket int, bits binary")
+    out, step = np.zeros(1 << (PAIR_BITS - 3), np.uint8), 1 << (PAIR_BITS - 3 - top)
+    for bucket, stretch in found.collect():
+        out[bucket * step : (bucket + 1) * step] = np.frombuffer(stretch, np.uint8)
+    return out
+
+
+def suffixes(docs: DataFrame, depth: int, routes: int, known: np.ndarray, pairs: np.ndarray, heavy: np.ndarray) -> DataFrame:
     """(route, lang, suffix array<string>, n array<long>): suffixes of two words or more, equal ones of a slice once.
 
-    ``known`` is the packed bit map of frequent words, ``heavy`` the sorted hashes of the words that alone don't route.
-    A route is (words that settle it, number), packed as one number.
+    ``known`` and ``pairs`` are the packed bit maps of frequent words and pairs, ``heavy`` the sorted hashes of the words
+    that alone don't route.  A route is (words that settle it, number), packed as one number.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((known, heavy))
+    shared = docs.sparkSession.sparkContext.broadcast((known, pairs, heavy))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, leaders = shared.value
+        bits, pair_bits, leaders = shared.value
         for names, part in _each(batches):
-            cell = (part.code >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-            frequent = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-            stops = np.append(np.flatnonzero(~frequent), part.n)
-            here = np.arange(part.n)
-            #: words of each suffix: to the piece's end, to the next rare word, ``depth`` at most
-            length = np.minimum(np.minimum(part.last + 1, stops[np.searchsorted(stops, here)]) - here, depth)
-            from_ = np.flatnonzero(length >= 2)
+            at, code = _pairs(part, bits)
+            linked = np.zeros(part.n, bool)
+            linked[at[_marked(pair_bits, code, PAIR_BITS)]] = True
+            stops = np.flatnonzero(~linked)
+            #: words of each suffix: up to the first word without a frequent pair to the next, ``depth`` at most
+            from_ = np.flatnonzero(linked)
             if not from_.size:
                 continue
-            length = length[from_]
+            length = np.minimum(stops[np.searchsorted(stops, from_)] - from_ + 1, depth)
             leads = np.zeros(part.n, bool)
             if leaders.size:
                 at = np.searchsorted(leaders, part.code)
@@ -277,7 +337,9 @@ def mine(docs: DataFrame, depth: int = 5, least: int = 100, top: int = 2000, tex
     # words of more than a route's share: fewer than ROUTES of them
     heavy = np.sort(word_hashes(frequent.where(F.col("n") > max(size // routes, least))).toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
     tasks = max(routes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    phrases = written(phrase_counts(suffixes(rows, depth, routes, np.packbits(bits), heavy), depth, least, tasks), "phrases")
+    known = np.packbits(bits)
+    pairs = frequent_pairs(rows, known, least, routes, tasks)
+    phrases = written(phrase_counts(suffixes(rows, depth, routes, known, pairs, heavy), depth, least, tasks), "phrases")
 
     parts = phrases.withColumn("w", F.split("phrase", " "))
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda k: F.transform(
