@@ -335,7 +335,18 @@ pre_sc AS (SELECT DISTINCT p.qkey, t.doc_id, CAST(1.0 AS DOUBLE) AS score FROM p
 _plain("search_prefix", _prefix,
        f"SELECT qkey AS query_id, rank, doc_id, score FROM {top_k('pre_sc', ['doc_id'])}")
 
-# search_fuzzy has none: an edit distance of every query word to every term is too slow in SQL (tests hold it to brute force)
+# DuckDB's levenshtein counts bytes: characters beyond ASCII become spare ASCII ones, which no lower-case term holds
+_one_byte = """list_aggregate(list_transform(string_split({c}, ''), x -> coalesce(element_at((SELECT m FROM spare), x)[1], x)), 'string_agg', '')"""
+_fuzzy = (_conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + """,
+beyond AS (SELECT c, row_number() OVER (ORDER BY c) AS i FROM (
+  SELECT DISTINCT c FROM (SELECT unnest(string_split(term, '')) AS c FROM d_df UNION ALL SELECT unnest(string_split(word, '')) FROM dw) WHERE unicode(c) > 127)),
+spare AS (SELECT coalesce(map_from_entries(list((c, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!"#$%&()*+,-/:;<=>?@[]^`{|}~', i::INT, 1)))), MAP {}) AS m FROM beyond),
+fz_w AS (SELECT word, """ + _one_byte.replace("{c}", "word") + """ AS e FROM dw),
+fz_d AS (SELECT term, """ + _one_byte.replace("{c}", "term") + """ AS e FROM d_df),
+f_qt AS (SELECT w.word AS qkey, d.term FROM fz_w w JOIN fz_d d ON abs(strlen(w.e) - strlen(d.e)) <= 2 AND levenshtein(w.e, d.e) <= 2)"""
+          + "," + score_ctes("fs", "d", "f", ["doc_id"]))
+_plain("search_fuzzy", _fuzzy,
+       f"SELECT qkey AS query_id, rank, doc_id, round(score, 6) AS score FROM {top_k('fs_sc', ['doc_id'])}")
 
 # code index over the corpus method nodes
 CODE_DOCS = ("SELECT name, class_name, 'source_code' AS field, source_code AS txt FROM c_mnode WHERE source_code IS NOT NULL "

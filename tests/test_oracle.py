@@ -24,16 +24,13 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_an_oracle_or_is_documented():
+def test_every_query_has_an_oracle():
     own = {k for k in QUERIES if k != "pipeline" and not k.startswith("op")}
-    assert own - set(ORACLES) == {"search_fuzzy"}
+    assert own <= set(ORACLES)
 
 
 @pytest.mark.parametrize("key", sorted(k for k in QUERIES if k != "pipeline" and not k.startswith("op")))
 def test_query_matches_oracle(spark, con, key):
     df = QUERIES[key](spark, SF_DIR)
-    if key not in ORACLES:
-        assert df.count() >= 0
-        return
     ok, msg = compare(df, con, ORACLES[key])
     assert ok, msg
