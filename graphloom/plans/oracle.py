@@ -336,13 +336,11 @@ _plain("search_prefix", _prefix,
        f"SELECT qkey AS query_id, rank, doc_id, score FROM {top_k('pre_sc', ['doc_id'])}")
 
 # DuckDB's levenshtein counts bytes: characters beyond ASCII become spare ASCII ones, which no lower-case term holds
-_one_byte = """list_aggregate(list_transform(string_split({c}, ''), x -> coalesce(element_at((SELECT m FROM spare), x)[1], x)), 'string_agg', '')"""
 _fuzzy = (_conv_q + "," + index_ctes("d", DOCS, ["doc_id"]) + """,
-beyond AS (SELECT c, row_number() OVER (ORDER BY c) AS i FROM (
-  SELECT DISTINCT c FROM (SELECT unnest(string_split(term, '')) AS c FROM d_df UNION ALL SELECT unnest(string_split(word, '')) FROM dw) WHERE unicode(c) > 127)),
-spare AS (SELECT coalesce(map_from_entries(list((c, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!"#$%&()*+,-/:;<=>?@[]^`{|}~', i::INT, 1)))), MAP {}) AS m FROM beyond),
-fz_w AS (SELECT word, """ + _one_byte.replace("{c}", "word") + """ AS e FROM dw),
-fz_d AS (SELECT term, """ + _one_byte.replace("{c}", "term") + """ AS e FROM d_df),
+beyond AS (SELECT DISTINCT c FROM (SELECT unnest(string_split(term, '')) AS c FROM d_df UNION ALL SELECT unnest(string_split(word, '')) FROM dw) WHERE unicode(c) > 127),
+spare AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS f, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ!"#$%&()*+,-/:;<=>?@[]^`{|}~', 1, count(*)::INT) AS t FROM beyond),
+fz_w AS (SELECT word, translate(word, f, t) AS e FROM dw, spare),
+fz_d AS (SELECT term, translate(term, f, t) AS e FROM d_df, spare),
 f_qt AS (SELECT w.word AS qkey, d.term FROM fz_w w JOIN fz_d d ON abs(strlen(w.e) - strlen(d.e)) <= 2 AND levenshtein(w.e, d.e) <= 2)"""
           + "," + score_ctes("fs", "d", "f", ["doc_id"]))
 _plain("search_fuzzy", _fuzzy,
@@ -548,5 +546,15 @@ FROM acc a LEFT JOIN c_content c ON c.path = a.path""")
 ORACLES["stale_nodes"] = with_corpus(POLICY_CTES.strip() + """,
 jw AS (SELECT DISTINCT target FROM res WHERE status = 'success' AND lower(target) LIKE '%.java')
 SELECT DISTINCT 'method' AS kind, m.name, m.class_name FROM c_method m JOIN jw ON jw.target = m.path WHERE m.name <> 'ping'""")
+ORACLES["stale_edges"] = with_corpus(POLICY_CTES.strip() + """,
+jw AS (SELECT DISTINCT target AS path FROM res WHERE status = 'success' AND lower(target) LIKE '%.java'),
+rm AS (SELECT path, class_name FROM c_file WHERE s % 9 = 5 AND path NOT IN (SELECT path FROM jw)),
+touched AS (SELECT path, class_name FROM c_file WHERE path IN (SELECT path FROM jw) UNION ALL SELECT path, class_name FROM rm)
+SELECT 'calls' AS kind, src_name, src_class AS src_owner, dst_name, dst_class AS dst_owner FROM c_calls_first
+  WHERE src_class IN (SELECT class_name FROM touched) OR dst_class IN (SELECT class_name FROM touched)
+UNION ALL SELECT 'depends_on', src_name, src_file_path, dst_name, dst_file_path FROM c_dep_first
+  WHERE src_file_path IN (SELECT path FROM touched) OR dst_file_path IN (SELECT path FROM rm)
+UNION ALL SELECT 'contains', path, NULL, class_name, path FROM rm
+UNION ALL SELECT DISTINCT 'defines', m.class_name, m.path, m.name, m.class_name FROM c_method m WHERE m.path IN (SELECT path FROM touched)""")
 ORACLES["upsert_graph"] = ORACLES["build_graph"]
 ORACLES["stream_ingest"] = ORACLES["build_graph"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import extract as X
 from graphloom.operators import graph as G
+from graphloom.operators import provenance as PR
 from graphloom.operators import tokens as TK
 from graphloom.operators import traverse as TR
 from graphloom.plans import pipeline as P
@@ -548,13 +549,31 @@ def q_apply_writes(spark, sf_dir):
     )
 
 
+def _rewritten(spark, sf_dir) -> DataFrame:
+    """The accepted ``.java`` writes, the last one of each path, extracted anew."""
+
+    def build():
+        c = _classified(spark, sf_dir)
+        accepted = c.filter((F.col("status") == "success") & F.lower(F.col("target")).endswith(".java"))
+        latest = accepted.groupBy(F.col("target").alias("path")).agg(F.max_by("content", "seq").alias("content"))
+        return X.parse(latest).checkpoint()
+
+    return P.memo(spark, sf_dir, "rewritten", build)
+
+
 @register("stale_nodes")
 def q_stale_nodes(spark, sf_dir):
-    c = _classified(spark, sf_dir)
-    accepted = c.filter((F.col("status") == "success") & F.lower(F.col("target")).endswith(".java"))
-    latest = accepted.groupBy(F.col("target").alias("path")).agg(F.max_by("content", "seq").alias("content"))
-    fresh = X.parse(latest)
-    return G.stale_nodes(P.graph(spark, sf_dir), fresh)
+    return G.stale_nodes(P.graph(spark, sf_dir), _rewritten(spark, sf_dir))
+
+
+@register("stale_edges")
+def q_stale_edges(spark, sf_dir):
+    """C10: edges without ground after the accepted writes and the removal of files of every ninth supplier."""
+    fresh = _rewritten(spark, sf_dir)
+    number = F.regexp_extract("path", r"(\d+)\.java$", 1).cast("long")
+    removed = P.files(spark, sf_dir).where(number % 9 == 5).select("path").join(fresh.select("path"), "path", "left_anti")
+    refs = PR.references(P.parsed(spark, sf_dir))
+    return PR.stale_edges(P.graph(spark, sf_dir), refs, fresh, removed)
 
 
 SPLIT_PATH = "/repo/src/pkg2"
