@@ -15,9 +15,16 @@ from graphloom.llm.ship import ship
 from graphloom.session import ensure_checkpoint_dir
 
 
+#: Whole texts that an Arrow batch holds at most: Spark's 10,000 would be some hundred MB in every worker and executor.
+BATCH_ROWS = 512
+
+
 def _ready(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

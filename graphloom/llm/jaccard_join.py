@@ -11,10 +11,11 @@ alone differ by more than the threshold allows are dropped; only the rest is com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -24,6 +25,8 @@ from graphloom.llm.components import components, written
 #: Cells of the count sketch that orders shingles by frequency; a fixed size, and only the order depends on it.
 SKETCH_BITS = 18
 SLICE_BYTES = 2 << 20
+#: Pairs of sets that a worker holds at a time.
+PAIR_ROWS = 256
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -136,6 +139,18 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
+@contextmanager
+def _short_batches(spark: SparkSession, rows: int = PAIR_ROWS):
+    """While this holds, Arrow batches have at most so many rows: a row of a pair carries two whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sieve(pairs: DataFrame, classes: DataFrame, frequency: np.ndarray, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose listed shingles leave the threshold within reach.
 
@@ -225,7 +240,9 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
     pivots = lists.groupBy("h", "band").agg(F.min(F.struct("pos", "cid", "n")).alias("p")).select("h", "band", "p.*")
     first = _pairs(lists.alias("x").join(pivots.alias("y"), ["h", "band"]).where(_reaches(num, den) & (F.col("x.cid") != F.col("y.cid"))))
     tried = written(first, "first")
-    first = written(sieve(tried, classes, frequency, num, den), "asked")
+    spark = docs.sparkSession
+    with _short_batches(spark):
+        first = written(sieve(tried, classes, frequency, num, den), "asked")
 
     meets = F.col("same") * den >= (F.col("na") + F.col("nb") - F.col("same")) * num
     ids = classes.select("cid", "d0", "d1")
@@ -234,7 +251,9 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
         cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         return ids.join(cids, "cid", "left_semi")
 
-    known = written(measure(first, sets_of(docs, size, needed(first), text_col)), "known")
+    sets = sets_of(docs, size, needed(first), text_col)
+    with _short_batches(spark):
+        known = written(measure(first, sets), "known")
     links = known.where(meets).select("a", "b")
     parts = components(links)
 
@@ -253,9 +272,12 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
     most = (F.col("na") + F.col("nb")) * (den - num)  # a difference d links when d * (den + num) is at most this
     told = told.withColumn("answer", F.when(F.col("pa") == F.col("pb"), F.when((F.col("oa") + F.col("ob")) * (den + num) <= most, F.lit(1)).when(F.abs(F.col("oa") - F.col("ob")) * (den + num) > most, F.lit(0))))
     told = written(told.select("a", "b", "answer"), "second")
-    open_ = written(sieve(told.where("answer is null").select("a", "b"), classes, frequency, num, den), "open")
-    late = measure(open_, sets_of(docs, size, needed(open_), text_col)).where(meets).select("a", "b")
-    links = written(links.union(told.where("answer = 1").select("a", "b")).union(late), "links")
+    with _short_batches(spark):
+        open_ = written(sieve(told.where("answer is null").select("a", "b"), classes, frequency, num, den), "open")
+    sets = sets_of(docs, size, needed(open_), text_col)
+    with _short_batches(spark):
+        late = measure(open_, sets).where(meets).select("a", "b")
+        links = written(links.union(told.where("answer = 1").select("a", "b")).union(late), "links")
     parts = components(links)
     joined = classes.drop("prefix").join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     return rows, written(joined, "joined"), links
@@ -281,22 +303,28 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_c
     Of repeated rows with that id and set any one stays; where all ids of a component are null, one of them stays.
     """
     rows, classes, _ = join(docs, size, num, den, id_col, text_col)
-    first = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "d0", "d1")).alias("k")).select(F.col("k.least").alias("_id"), F.col("k.d0").alias("_k0"), F.col("k.d1").alias("_k1"))
-    same_set = (F.col("_d0") == F.col("_k0")) & (F.col("_d1") == F.col("_k1"))
-    kept = _tagged(docs, size, text_col).join(first, F.col(id_col).eqNullSafe(F.col("_id")) & same_set, "left").where("_n = 0 or _k0 is not null")
+    taken = {c.lower() for c in docs.columns}
+    tail = "_"
+    while any(f"{c}{tail}" in taken for c in ("_n", "_d0", "_d1", "_id", "_k0", "_k1")):
+        tail += "_"
+    n, d0, d1, least, k0, k1 = (f"{c}{tail}" for c in ("_n", "_d0", "_d1", "_id", "_k0", "_k1"))
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "d0", "d1")).alias("k")).select(F.col("k.least").alias(least), F.col("k.d0").alias(k0), F.col("k.d1").alias(k1))
+    same_set = (F.col(d0) == F.col(k0)) & (F.col(d1) == F.col(k1))
+    kept = _tagged(docs, size, text_col, (n, d0, d1)).join(first, F.col(f"`{id_col}`").eqNullSafe(F.col(least)) & same_set, "left").where((F.col(n) == 0) | F.col(k0).isNotNull())
     again = rows.where("n > 0").groupBy("id", "d0", "d1").agg(F.count("*").alias("of")).where("of > 1")
-    again = written(first.join(again, F.col("id").eqNullSafe(F.col("_id")) & (F.col("d0") == F.col("_k0")) & (F.col("d1") == F.col("_k1")), "left_semi").select("_k0", "_k1"), "again")
+    again = written(first.join(again, F.col("id").eqNullSafe(F.col(least)) & (F.col("d0") == F.col(k0)) & (F.col("d1") == F.col(k1)), "left_semi").select(k0, k1), "again")
+    own = [F.col(f"`{c}`") for c in docs.columns]
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    kept = kept.drop("_id", "_k0", "_k1")
-    once = kept.join(again, same_set, "left_anti").select(*docs.columns)
-    return once.union(kept.join(again, same_set, "left_semi").dropDuplicates(["_d0", "_d1"]).select(*docs.columns))
+        return kept.select(*own)
+    kept = kept.drop(least, k0, k1)
+    once = kept.join(again, same_set, "left_anti").select(*own)
+    return once.union(kept.join(again, same_set, "left_semi").dropDuplicates([d0, d1]).select(*own))
 
 
-def _tagged(docs: DataFrame, size: int, text_col: str) -> DataFrame:
-    """The rows with the size and digests of their sets."""
+def _tagged(docs: DataFrame, size: int, text_col: str, names: tuple[str, str, str]) -> DataFrame:
+    """The rows with the size and digests of their sets, as ``names``."""
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in ("_n", "_d0", "_d1")]])
+    schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in names]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,7 +333,7 @@ def _tagged(docs: DataFrame, size: int, text_col: str) -> DataFrame:
                 values, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 d0, d1 = digests(values, bounds)
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds)), pa.array(d0), pa.array(d1)], [*part.schema.names, "_n", "_d0", "_d1"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds)), pa.array(d0), pa.array(d1)], [*part.schema.names, *names])
 
     return docs.mapInArrow(scan, schema)
 

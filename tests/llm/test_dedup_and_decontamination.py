@@ -53,6 +53,16 @@ def test_keep_one(spark):
     assert groups <= {r.doc_id for r in found}
 
 
+def test_keep_one_with_any_column_names(spark):
+    names = ["_n", "_id", "_D0", "_d1", "_k0", "_k1_"]
+    rows = corpus()
+    plain = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    docs = spark.createDataFrame([(*r[:2], *range(6)) for r in rows], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = jaccard_join.keep_one(docs, 5, 80, 100)
+    assert kept.schema == docs.schema
+    assert ordered(r[:2] for r in kept.collect()) == ordered(jaccard_join.keep_one(plain, 5, 80, 100).collect())
+
+
 def test_decontamination(spark):
     rows = corpus()
     long = next(r[1] for r in rows if r[1] and len(r[1].split()) == 80).split()
