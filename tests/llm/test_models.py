@@ -2,10 +2,12 @@
 import collections
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from graphloom.llm import langid, license_scan, mixing_lm, queries, toxicity
 from helpers import LOWER, SCHEMA, SPACED, corpus
@@ -85,6 +87,96 @@ def test_isotonic_is_monotone():
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
 
 
+def wrapped(texts, lead="", width=70):
+    """The texts as paragraphs of a comment: wrapped lines behind a mark, a line with the mark alone between them."""
+    return ("\n" + lead.rstrip() + "\n").join("\n".join(lead + line for line in textwrap.wrap(t, width - len(lead))) for t in texts)
+
+
+def plain_scan(text):
+    """(n_licences, families, n_unconfirmed) by loops over the pieces of one text."""
+    model = license_scan.classifier()
+    templates = [(f, set(license_scan.grams_of(license_scan.words_of(t))), len(license_scan.words_of(t))) for f, t in license_scan.TEMPLATES]
+    short = [g for _, g, n in templates if n <= license_scan.ONE_LINE]
+    every = set().union(*(g for _, g, _ in templates))
+    found, before = [], None  # runs as [first, last, words]
+    for at, piece in enumerate(regex.split(license_scan.PIECES, text or "")):
+        words = license_scan.words_of(piece)
+        grams = set(license_scan.grams_of(words))
+        two = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        known = sum(p in every for p in two)
+        strong = known >= 2 and (2 * known >= len(two) or max(len(grams & t) / len(t) for t in short) >= 0.6)
+        few = 1 <= len(words) <= license_scan.FEW and grams <= every
+        alone = known >= 2 and max(len(grams & t) / len(grams | t) for t in short) >= 0.6 and bool(regex.search(r"[.!?]\W*$|SPDX-", piece))
+        if not (strong or few):
+            before = None
+            continue
+        if before is None or alone or before == "alone":
+            found.append([at, at, []])
+        found[-1][1] = at
+        found[-1][2].extend(words)
+        before = "alone" if alone else "run"
+    got = []
+    for first, last, words in found:
+        grams = license_scan.grams_of(words)
+        p = model.probabilities(grams)
+        best = max(range(1, len(p)), key=lambda c: p[c])
+        if len(words) < license_scan.FEW or p[best] <= p[0] or p[best] < license_scan.LEAST:
+            got.append((first, last, None, False))
+            continue
+        family, own = model.classes[best], set(grams)
+        sure = any(f == family and (len(own & t) / len(t) >= 0.6 or len(own) >= license_scan.INSIDE_GRAMS and len(own & t) / len(own) >= 0.8) for f, t, _ in templates)
+        got.append((first, last, family, sure))
+    if not got or got[0][0] > 0:
+        got.insert(0, (0, 0, None, False))
+    parts = {i for i in range(len(got) - 1) if got[i][2] == license_scan.RESERVED and got[i][3] and got[i + 1][3] and got[i + 1][2] != license_scan.RESERVED
+             and got[i + 1][0] - got[i][1] <= license_scan.APART}
+    got = [g for i, g in enumerate(got) if g[2] and i not in parts]
+    return sum(g[3] for g in got), ",".join(sorted({g[2] for g in got if g[3]})), sum(not g[3] for g in got)
+
+
+def notices():
+    """(family, texts): whole headers by family, from the notices of more than one line."""
+    long = {}
+    for f, t in license_scan.TEMPLATES:
+        if len(license_scan.words_of(t)) > license_scan.ONE_LINE:
+            long.setdefault(f, []).append(t)
+    yield "MIT", ["MIT License", "Copyright (c) 2019 Jane Doe", *long["MIT"]]
+    yield "BSD", ["Copyright (c) 2019, Jane Doe All rights reserved.", *long["BSD"]]
+    yield "BSD", long["BSD"][1:2]
+    yield "Apache-2.0", ["Copyright 2020 The Authors", long["Apache-2.0"][0], "http://www.apache.org/licenses/LICENSE-2.0", long["Apache-2.0"][2]]
+    yield "GPL", long["GPL"][:1]
+    yield "GPL", long["GPL"][1:]
+    yield "LGPL", long["LGPL"]
+    yield "LGPL", long["LGPL"][1:2]
+    yield "MPL-2.0", long["MPL-2.0"][-1:]
+    yield "ISC", ["Copyright (c) 2001 Bob", *long["ISC"]]
+    yield "Proprietary", ["Copyright (c) 2001 Foo Corp. All rights reserved."]
+
+
+def test_wrapped_licences(spark):
+    before = "The cat sat on the mat in the sun and looked at the river\n"
+    cases = [(f, pre + wrapped(t, lead, width)) for f, t in notices() for lead, width in (("", 70), (" * ", 78), ("# ", 60), ("// ", 50), ("", 1000)) for pre in ("", before)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i].families for i in range(len(cases))] == [f for f, _ in cases]
+    assert [(got[i].n_licences, got[i].families, got[i].n_unconfirmed) for i in range(len(cases))] == [plain_scan(t) for _, t in cases]
+
+
+def test_licences_by_brute_force(spark):
+    """The given documents, the awkward rows with clashing columns, and a very long text."""
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got = sorted((r.doc_id, r.n_licences, r.families, r.n_unconfirmed) for r in license_scan.scan(docs).collect())
+    assert got == sorted((i, *plain_scan(t)) for i, t in rows)
+    notice = license_scan.TEMPLATES[0][1]
+    more = [(500, "the cat sat. " * 100_000 + "\n" + notice), (501, (notice + "\n") * 2_000)]
+    names = ["row", "id", "pos", "words", "run", "family", "last"]
+    rows = [r[:2] for r in corpus()] + more
+    wide = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    got = sorted((repr(r.doc_id), r.n_licences, r.families, r.n_unconfirmed) for r in license_scan.scan(wide).collect())
+    assert got == sorted((repr(i), *plain_scan(t)) for i, t in rows)
+    assert ("500", 1, "MIT", 0) in got and ("501", 2_000, "MIT", 0) in got
+
+
 def test_licences(spark):
     rows = [(1, "Some prose here.\nLicensed under the Apache License, Version 2.0.\nMore."), (2, "the general public was under the bridge"),
             (3, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (None, None), (5, ""), (5, ""),
@@ -96,13 +188,17 @@ def test_licences(spark):
 
 def test_licence_probabilities_equal_the_plain_model(spark):
     model = license_scan.classifier()
-    lines = [t for _, t in license_scan.TEMPLATES]
-    got = {r.paragraph: r for r in license_scan.scan_paragraphs(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
-    for i, line in enumerate(lines):
+    rows = list(enumerate(t for _, t in license_scan.TEMPLATES))
+    found = license_scan.scan_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r.id: r for r in found if r.paragraph == 0}
+    for i, line in rows:
+        if len(regex.split(license_scan.PIECES, line)) > 1:
+            continue
         p = model.probabilities(license_scan.grams_of(license_scan.words_of(line)))
         best = max(range(1, len(p)), key=lambda c: p[c])
         assert got[i].family == model.classes[best] == license_scan.TEMPLATES[i][0]
         assert got[i].probability == pytest.approx(p[best], abs=1e-6)
+    assert all(model.classes[int(np.argmax(model.probabilities(grams)))] == f for f, grams in model.left_out if f == license_scan.UNKNOWN)
 
 
 def base_scores(rows, learned):
