@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame
 
 from graphloom.llm.bpe import BLANK, ODD, Fits, Merges, quiet_collector, splitter
 
-#: Distinct pieces whose tables a worker keeps; the store is emptied when it is full, which changes no result.
-KEPT_PIECES = 250_000
+#: Distinct pieces whose tables a worker keeps in a store; a full store goes back in line, and what is met again moves to
+#: the new one, so that common pieces stay.  No result depends on it.
+KEPT_PIECES = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -30,6 +32,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Totals(dict):
+    """The last entry of each piece's table."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+
+    def __missing__(self, piece: str) -> int:
+        own = self[piece] = int.from_bytes(self.counter.kept(piece)[-4:], "little")
+        return own
+
+
 class PrefixCounter:
     """Counts of a word-end BPE (vocabulary file of the tokenizers library) at every prefix."""
 
@@ -39,22 +52,23 @@ class PrefixCounter:
         self.end = model["end_of_word_suffix"]
         pairs = {tuple(p if isinstance(p, list) else p.split(" ")): i for i, p in enumerate(model["merges"])}
         self.merges = Merges(lambda a, b: pairs.get((a, b)), self._atoms)
-        self.letters = byte_letters()
-        #: Nodes (children, token if the word goes on, token if it ends here), of tokens that encode to themselves.
+        number = {c: b for b, c in enumerate(byte_letters())}
+        #: Nodes (children by byte, token if the word goes on, token if it ends here), of tokens that encode to themselves.
         self.trie: list = [{}, -1, -1]
         self.tokens = [t for t in model["vocab"] if self.merges.stable(t)]
         self.fits = Fits(self.merges, self.tokens)
-        for number, token in enumerate(self.tokens):
+        for at, token in enumerate(self.tokens):
             closed, node = token.endswith(self.end), self.trie
             for c in token[: -len(self.end)] if closed else token:
-                node = node[0].setdefault(c, [{}, -1, -1])
-            node[2 if closed else 1] = number
+                node = node[0].setdefault(number.get(c, c), [{}, -1, -1])
+            node[2 if closed else 1] = at
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pieces = splitter(f" ?(?:{split})| ")
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.older: dict[str, bytes] = {}
         self.tables: dict[str, bytes] = {}
-        self.totals: dict[str, int] = {}
+        self.totals = Totals(self)
 
     def _atoms(self, token: str) -> list[str]:
         if token.endswith(self.end) and len(token) > len(self.end):
@@ -65,47 +79,59 @@ class PrefixCounter:
     def normal(self, text: str) -> str:
         """NFC, runs of white space to one blank, each letter lowered on its own."""
         if not ODD.search(text):
-            return WHITE.sub(" ", text).lower()
+            words = " ".join(text.split())
+            if text[:1].isspace():
+                words = " " + words
+            return (words + " " if text[-1:].isspace() and words != " " else words).lower()
         text = WHITE.sub(" ", unicodedata.normalize("NFC", text))
         low = text.lower()
         return "".join([c.lower() for c in text]) if "ς" in low else low
 
     def table(self, piece: str) -> bytes:
         """Little-endian int32 per letter of the piece: tokens if the piece ended after it (a blank before it: 0)."""
-        word, ends = "", []
-        for c in piece.removeprefix(" "):
-            word += "".join([self.letters[b] for b in c.encode("utf-8", "surrogatepass")])
-            ends.append(len(word))
+        body = piece.removeprefix(" ")
+        word = body.encode("utf-8", "surrogatepass")
         n = len(word)
         last, count, shut = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        fits, (children, _, _) = self.fits, self.trie
-        for j in range(n):
-            before, reached, below = last[j] << 20, count[j] + 1, children
-            if j and before < 0:
+        fits, children = self.fits, self.trie[0]
+        i, below = 0, children
+        for byte in word:
+            node = below.get(byte)
+            if node is None:
+                break
+            i += 1
+            below, going, ending = node
+            if going >= 0:
+                last[i], count[i] = going, 1
+            if ending >= 0:
+                shut[i] = 1
+        for j in range(1, n):
+            if last[j] < 0:
                 continue
-            for i in range(j, n):
-                node = below.get(word[i])
+            before, reached, i, below = last[j] << 20, count[j] + 1, j, children
+            for byte in word[j:]:
+                node = below.get(byte)
                 if node is None:
                     break
+                i += 1
                 below, going, ending = node
-                if going >= 0 and last[i + 1] < 0 and (not j or fits[before | going]):
-                    last[i + 1], count[i + 1] = going, reached
-                if ending >= 0 and not shut[i + 1] and (not j or fits[before | ending]):
-                    shut[i + 1] = reached
-        return np.array([0] * (len(piece) - len(ends)) + [shut[i] for i in ends], "<i4").tobytes()
-
-    def _split(self, text: str) -> list[str]:
-        """The pieces of a normalised text, with their tables at hand."""
-        pieces, tables = self.pieces(text), self.tables
-        for p in {*pieces}.difference(tables):
-            tables[p] = own = self.table(p)
-            self.totals[p] = int.from_bytes(own[-4:], "little")
-        return pieces
+                if going >= 0 and last[i] < 0 and fits[before | going]:
+                    last[i], count[i] = going, reached
+                if ending >= 0 and not shut[i] and fits[before | ending]:
+                    shut[i] = reached
+        if n > len(body):
+            shut = [0, *(v for v, byte in zip(shut[1:], [*word[1:], 0]) if byte & 0xC0 != 0x80)]
+        return array("i", shut if len(piece) > len(body) else shut[1:]).tobytes()
+
+    def kept(self, piece: str) -> bytes:
+        own = self.tables.get(piece)
+        if own is None:
+            self.tables[piece] = own = self.older.pop(piece, None) or self.table(piece)
+        return own
 
     def _parts(self, text: str) -> list[str]:
         if len(self.tables) > KEPT_PIECES:
-            self.tables.clear()
-            self.totals.clear()
+            self.older, self.tables, self.totals = self.tables, {}, Totals(self)
         return self.special.split(text) if self.special else [text]
 
     def prefixes(self, text: str) -> np.ndarray:
@@ -116,9 +142,9 @@ class PrefixCounter:
             if i % 2:
                 own = np.zeros(len(part), np.int64)
                 own[-1] = 1
-            elif pieces := self._split(self.normal(part)):
-                inside = np.frombuffer(b"".join([self.tables[p] for p in pieces]), "<i4")
-                whole = np.array([self.totals[p] for p in pieces])
+            elif pieces := self.pieces(self.normal(part)):
+                inside = np.frombuffer(b"".join(map(self.kept, pieces)), "<i4")
+                whole = np.array([*map(self.totals.__getitem__, pieces)])
                 own = inside + np.repeat(np.cumsum(whole) - whole, np.fromiter(map(len, pieces), np.int64, len(pieces)))
             else:
                 continue
@@ -133,8 +159,7 @@ class PrefixCounter:
             if i % 2:
                 n += 1
             else:
-                pieces, totals = self._split(self.normal(part)), self.totals
-                n += sum([totals[p] for p in pieces])
+                n += sum(map(self.totals.__getitem__, self.pieces(self.normal(part))))
         return n
 
 
