@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.components import written
+
 CHAIN = 2
-#: Buckets for the neighbour of each row hold about so many rows; cells over the id range that they are made of.
-BUCKET_ROWS, CELLS = 400, 1 << 14
+#: Buckets for the neighbour of each row hold about so many rows, more where there would be more than BUCKETS of them;
+#: a cell that holds more than a bucket is split into so many cells a bucket.
+BUCKET_ROWS, BUCKETS, FINER = 400, 1 << 16, 4
 
 # Anchors, the commonest words of four languages.
 ANCHORS = sorted({
@@ -60,25 +63,52 @@ def shown(signatures: str) -> Column:
     return F.array_join(F.transform(signatures, lambda x: F.substring(F.hex(x.cast("long")), -8, 8)), ",")
 
 
+def _placed(rows: DataFrame, splits: list[DataFrame]) -> DataFrame:
+    """The rows with ``cell``: an array, in order of descending (id, h), longer by one number for each split they are in."""
+    rows = rows.withColumn("cell", F.array(F.when(F.col("id").isNull(), 1).otherwise(0)))
+    for split in splits:
+        whole = lambda c: F.col(c).cast("decimal(20,0)")
+        part = lambda at, lo, hi: F.floor((whole(hi) - whole(at)) / (F.floor((whole(hi) - whole(lo)) / F.col("fan")) + 1)).cast("int")
+        child = F.when(F.col("lo") < F.col("hi"), part("id", "lo", "hi")).otherwise(part("h", "hlo", "hhi"))
+        rows = rows.join(F.broadcast(split), "cell", "left")
+        rows = rows.withColumn("cell", F.when(F.col("fan").isNotNull(), F.concat("cell", F.array(child))).otherwise(F.col("cell"))).drop("lo", "hi", "hlo", "hhi", "fan")
+    return rows
+
+
+def cells_of(rows: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
+    """(splits, cells, limit): cells of at most ``limit`` rows, unless all rows of one are equal in id and text.
+
+    A cell that holds more is split evenly between the ids that it holds, or the hashes where it holds one id, until none
+    does.  Splits and cells are tables of some FINER * BUCKETS rows at most a round, however many rows there are.
+    """
+    keys = written(rows.select("id", "h"), "keys")
+    limit = max(BUCKET_ROWS, -(-keys.count() // BUCKETS))
+    splits: list[DataFrame] = []
+    while True:
+        cells = written(_placed(keys, splits).groupBy("cell").agg(
+            F.count("*").alias("n"), F.max(F.struct("id", "h")).alias("head"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("h").alias("hlo"), F.max("h").alias("hhi")), "cells")
+        full = (F.col("n") > limit) & (F.coalesce(F.col("lo") < F.col("hi"), F.lit(False)) | (F.col("hlo") < F.col("hhi")))
+        split = cells.where(full).select("cell", "lo", "hi", "hlo", "hhi", (F.ceil(F.col("n") / limit) * FINER).alias("fan"))
+        if split.isEmpty():
+            return splits, cells.select("cell", "n", "head"), limit
+        splits.append(split)
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(bucket, guest, id, text) so that, by bucket, the row after each (id descending, nulls last) is its neighbour.
 
-    Ids are cut into cells, cells gathered into buckets of about BUCKET_ROWS rows; the first row of each bucket is a
-    guest at the end of the bucket before it, and that of the first bucket at the end of the last.
+    Cells of neighbouring ids are gathered into buckets; the first row of each bucket is a guest at the end of the bucket
+    before it, and that of the first bucket at the end of the last.  Ids are whole numbers.
     """
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    low, high = (0, 0) if low is None else (int(low), int(high))
-    width = (high - low) // CELLS + 1
-    cell = F.coalesce(F.floor((F.lit(high).cast("decimal(20,0)") - F.col(id_col)) / F.lit(width).cast("decimal(20,0)")).cast("int"), F.lit(CELLS))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), cell.alias("cell")).withColumn("h", F.xxhash64(F.col("text").isNull(), "text"))
-    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.struct("id", "h")).alias("head"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64(F.col("text").isNull(), "text"))
+    splits, cells, limit = cells_of(rows)
     upto = Window.orderBy("cell")
-    cells = cells.withColumn("part", F.floor((F.sum("n").over(upto) - F.col("n")) / BUCKET_ROWS))
+    cells = cells.withColumn("part", F.floor((F.sum("n").over(upto) - F.col("n")) / limit))
     cells = cells.withColumn("bucket", F.dense_rank().over(Window.orderBy("part")))
     cells = cells.withColumn("last", F.max("bucket").over(Window.partitionBy()))
     cells = cells.withColumn("first", F.row_number().over(Window.partitionBy("bucket").orderBy("cell")) == 1)
     cells = cells.select("cell", "bucket", "head", "first", F.when(F.col("bucket") == 1, F.col("last")).otherwise(F.col("bucket") - 1).alias("guest_at"))
-    placed = rows.join(F.broadcast(cells), "cell")
+    placed = _placed(rows, splits).join(F.broadcast(cells), "cell")
     is_head = F.col("first") & F.struct("id", "h").eqNullSafe(F.col("head"))
     own, guest = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("guest_at").alias("bucket"), F.lit(1).alias("guest"))
     return placed.select("id", "text", "h", F.inline(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))))
@@ -89,7 +119,8 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The neighbour is the next row by descending id (after the last: the first); of equal ids the texts' hashes decide,
     and repeated rows follow one another.  The edited text has its last third replaced by as many code points (or all)
-    of the neighbour.  Null texts are empty; an empty text has an empty fingerprint; an empty table gives no rows.
+    of the neighbour.  Null texts are empty; an empty text has an empty fingerprint; an empty table gives no rows; other
+    columns are not read.  Ids are whole numbers; rows equal in id and text share a bucket.
     """
     dealt = with_next(docs, id_col, text_col).repartition("bucket")
     dealt = with_signatures(dealt.withColumn("text", F.coalesce("text", F.lit(""))), "text", "sig")

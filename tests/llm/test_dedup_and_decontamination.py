@@ -123,6 +123,21 @@ def test_spotsigs_neighbours(spark):
         assert len([x for x in r.fingerprint.split(",") if x]) == len(spots(text))
 
 
+@pytest.mark.parametrize("ids", ["outlier", "clusters", "nulls", "one"])
+def test_spotsigs_buckets(spark, ids):
+    """Skewed ids: buckets of like size, and each row meets the next one of the whole order."""
+    key = {"outlier": lambda i: i if i else 1 << 62, "clusters": lambda i: (i % 3) * (1 << 61) - (1 << 62) + i // 3, "nulls": lambda i: i if i % 3 else None, "one": lambda i: 7}[ids]
+    rows = [(key(i), f"w{i} the x{i % 7} y{i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in spotsigs.with_next(docs, "doc_id", "text").where("guest = 0").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 2 * sum(sizes) / len(sizes)
+    got = sorted(r.edited_sha256 for r in spotsigs.compare_neighbours(docs).collect())
+    hashed = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(false, text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]), reverse=True)
+    edited = [t[: len(t) - len(t) // 3] + order[(i + 1) % len(order)][1][: len(t) // 3] for i, (_, t) in enumerate(order)]
+    assert got == sorted(hashlib.sha256(t.encode()).hexdigest() for t in edited)
+
+
 def test_spotsigs_awkward_rows(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
