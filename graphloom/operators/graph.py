@@ -270,6 +270,17 @@ def graph_digest(spark: SparkSession, graph: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("table").agg(F.count("_one").cast("bigint").alias("rows"))
 
 
+def graph_rows(graph: dict[str, DataFrame]) -> DataFrame:
+    """All rows of all graph tables: ``table`` and the table's columns in order as k1..k5, null where it has fewer."""
+    out = None
+    for name, rows in graph.items():
+        cols = [c.split()[0] for c in NODE_SCHEMAS[name].split(", ")]
+        part = rows.select(F.lit(name).alias("table"), *[
+            (F.col(cols[i]) if i < len(cols) else F.lit(None).cast("string")).alias(f"k{i + 1}") for i in range(5)])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stale_nodes(graph: dict[str, DataFrame], fresh_parsed: DataFrame) -> DataFrame:
     """C10: (kind, name, class_name) of the method and class nodes that the graph has from files in ``fresh_parsed``
     and a fresh extract of these files no longer has.  Files are matched by path alone, so a renamed class is found."""

@@ -558,3 +558,20 @@ UNION ALL SELECT 'contains', path, NULL, class_name, path FROM rm
 UNION ALL SELECT DISTINCT 'defines', m.class_name, m.path, m.name, m.class_name FROM c_method m WHERE m.path IN (SELECT path FROM touched)""")
 ORACLES["upsert_graph"] = ORACLES["build_graph"]
 ORACLES["stream_ingest"] = ORACLES["build_graph"]
+ORACLES["reingest_graph"] = with_corpus(POLICY_CTES.strip() + r""",
+jw AS (SELECT DISTINCT target AS path, regexp_extract(content, 'class (\w+) ', 1) AS class_name
+       FROM res WHERE status = 'success' AND lower(target) LIKE '%.java'),
+src AS (SELECT 'public void ping() {' || chr(10) || '        log(1);' || chr(10) || '    }' AS ping)
+SELECT 'file_nodes' AS "table", path AS k1, string_split(path, '/')[-1] AS k2, CAST(NULL AS VARCHAR) AS k3, CAST(NULL AS VARCHAR) AS k4,
+       CAST(NULL AS VARCHAR) AS k5 FROM (SELECT path FROM c_file UNION SELECT path FROM jw)
+UNION ALL SELECT 'class_nodes', c.name, c.file_path, CASE WHEN jw.path IS NULL THEN c.stereotype END, NULL, NULL
+  FROM c_cnode c LEFT JOIN jw ON jw.path = c.file_path AND jw.class_name = c.name
+UNION ALL SELECT 'class_nodes', class_name, path, NULL, NULL, NULL FROM jw WHERE (class_name, path) NOT IN (SELECT class_name, path FROM c_file)
+UNION ALL SELECT 'method_nodes', name, class_name, http_method, endpoint, source_code FROM c_mnode
+UNION ALL SELECT 'method_nodes', 'ping', class_name, NULL, NULL, ping FROM (SELECT DISTINCT class_name FROM jw), src
+UNION ALL SELECT 'contains', path, class_name, NULL, NULL, NULL FROM (SELECT path, class_name FROM c_file UNION SELECT path, class_name FROM jw)
+UNION ALL SELECT 'defines', class_name, path, name, NULL, NULL
+  FROM (SELECT class_name, path, name FROM c_method UNION SELECT class_name, path, 'ping' FROM jw)
+UNION ALL SELECT 'calls', src_name, src_class, dst_name, dst_class, NULL FROM c_calls_first
+UNION ALL SELECT DISTINCT 'calls', 'ping', jw.class_name, 'log', n.class_name, NULL FROM jw JOIN c_mnode n ON n.name = 'log'
+UNION ALL SELECT 'depends_on', src_name, src_file_path, dst_name, dst_file_path, NULL FROM c_dep_first""")

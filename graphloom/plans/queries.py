@@ -549,16 +549,16 @@ def q_apply_writes(spark, sf_dir):
     )
 
 
-def _rewritten(spark, sf_dir) -> DataFrame:
-    """The accepted ``.java`` writes, the last one of each path, extracted anew."""
+def _accepted(spark, sf_dir) -> DataFrame:
+    """The accepted ``.java`` writes (path, content), the last one of each path."""
+    c = _classified(spark, sf_dir)
+    accepted = c.filter((F.col("status") == "success") & F.lower(F.col("target")).endswith(".java"))
+    return accepted.groupBy(F.col("target").alias("path")).agg(F.max_by("content", "seq").alias("content"))
 
-    def build():
-        c = _classified(spark, sf_dir)
-        accepted = c.filter((F.col("status") == "success") & F.lower(F.col("target")).endswith(".java"))
-        latest = accepted.groupBy(F.col("target").alias("path")).agg(F.max_by("content", "seq").alias("content"))
-        return X.parse(latest).checkpoint()
 
-    return P.memo(spark, sf_dir, "rewritten", build)
+def _rewritten(spark, sf_dir) -> DataFrame:
+    """The accepted writes, extracted anew."""
+    return P.memo(spark, sf_dir, "rewritten", lambda: X.parse(_accepted(spark, sf_dir)).checkpoint())
 
 
 @register("stale_nodes")
@@ -601,3 +601,15 @@ def q_stream_ingest(spark, sf_dir):
     ST.stream_ingest(spark, src, state, ckpt, files_per_trigger=None)
     _, graph = ST.current_graph(spark, state)
     return G.graph_digest(spark, graph)
+
+
+@register("reingest_graph")
+def q_reingest_graph(spark, sf_dir):
+    """C9, S1: the whole corpus by the stream, then the accepted writes (new versions of files that the graph holds, and new
+    files) by a second run of it; every row of every graph table."""
+    src, state, ckpt = (scratch_path(spark, f"reingest-{part}") for part in ("src", "state", "ckpt"))
+    P.files(spark, sf_dir).select("path", "content").write.mode("append").parquet(src)
+    ST.stream_ingest(spark, src, state, ckpt)
+    _accepted(spark, sf_dir).write.mode("append").parquet(src)
+    ST.stream_ingest(spark, src, state, ckpt)
+    return G.graph_rows(ST.current_graph(spark, state)[1])
