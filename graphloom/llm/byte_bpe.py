@@ -11,6 +11,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 
 from graphloom.llm.bpe import Fits, Merges, quiet_collector, splitter
 
-KEPT_ARCS, KEPT_PIECES = 300_000, 250_000
+#: Entries kept by a worker, some 200 MB together when full.
+KEPT_ARCS, KEPT_PIECES = 600_000, 500_000
 
 
 class Transducer:
@@ -60,31 +62,37 @@ class Transducer:
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, paths = self.states[state]
-        alive, whole, trie, inner, ends = [], None, self.trie, self.inner, self.token
+        alive, whole, step, inner, ends = [], None, self.trie.get, self.inner, self.token
         for pending, node in paths:
-            child = trie.get(node << 8 | byte)
+            child = step(node << 8 | byte)
             if child is None:
                 continue
             if child in inner:
                 alive.append((pending, child))
-            i = ends[child]
-            if i >= 0 and whole is None:
-                before = pending[-1] if pending else last
-                if before < 0 or self.fits[before << 20 | i]:
-                    whole = (*pending, i)
+            if whole is None:
+                i = ends[child]
+                if i >= 0:
+                    before = pending[-1] if pending else last
+                    if before < 0 or self.fits[before << 20 | i]:
+                        whole = (*pending, i)
         shared = len(whole)
         for p, _ in alive:
-            n = 0
-            for x, y in zip(p, whole):
-                if x != y:
-                    break
-                n += 1
-            shared = min(shared, n)
+            if len(p) < shared:
+                shared = len(p)
+            while shared and p[:shared] != whole[:shared]:
+                shared -= 1
+            if not shared:
+                break
         out = whole[:shared]
         last = out[-1] if out else last
         alive.append((whole, 0))
         alive = tuple([(p[shared:], n) for p, n in alive]) if shared else tuple(alive)
-        key = (last if any([not p for p, _ in alive]) else -1, alive)
+        for p, _ in alive:
+            if not p:
+                break
+        else:
+            last = -1
+        key = (last, alive)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
@@ -117,10 +125,7 @@ class Transducer:
             known.clear()
         for p in {*pieces}.difference(known):
             known[p] = self.piece(p.encode("utf-8"))
-        out: list[int] = []
-        for p in pieces:
-            out += known[p]
-        return out
+        return list(chain.from_iterable(map(known.__getitem__, pieces)))
 
 
 class Utf8Stream:
@@ -196,8 +201,7 @@ class Decoder:
         return "".join(out)
 
     def text(self, ids) -> str:
-        clean = self.clean
-        out = [clean[i] for i in ids]
+        out = list(map(self.clean.__getitem__, ids))
         if None in out:
             machine = Utf8Stream()
             return self.feed(ids, machine) + machine.end()
@@ -230,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 for value in part.column(1):
                     got = tool.encode(value.as_py() or "")
                     n.append(len(got))
-                    first.append(hashlib.sha256(" ".join([shown[i] for i in got]).encode()).hexdigest())
+                    first.append(hashlib.sha256(" ".join(map(shown.__getitem__, got)).encode()).hexdigest())
                     second.append(hashlib.sha256(decoder.text(got).encode()).hexdigest())
                     if ids:
                         lists.append(np.array(got, np.int32))
