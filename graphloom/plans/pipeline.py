@@ -30,6 +30,11 @@ def memo(spark: SparkSession, sf_dir: str, what: str, build):
     return _MEMO[k]
 
 
+def known(spark: SparkSession, sf_dir: str, what: str):
+    """A piece that was built before, or None."""
+    return _MEMO.get(_key(spark, sf_dir, what))
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, f"plan-{name}")
     df.write.parquet(path)

@@ -50,19 +50,24 @@ def q_token_table(spark, sf_dir):
     return TK.token_digest(TK.token_table(keyed), keyed)
 
 
+def _records(spark, sf_dir) -> DataFrame:
+    """The parsed records where a query reads a few columns: as written, if they are; else what makes these columns is run."""
+    return P.known(spark, sf_dir, "parsed") or X.parse(P.files(spark, sf_dir))
+
+
 @register("class_names")
 def q_class_names(spark, sf_dir):
-    return P.parsed(spark, sf_dir).select("path", "class_name")
+    return _records(spark, sf_dir).select("path", "class_name")
 
 
 @register("stereotypes")
 def q_stereotypes(spark, sf_dir):
-    return P.parsed(spark, sf_dir).select("path", "stereotype")
+    return _records(spark, sf_dir).select("path", "stereotype")
 
 
 @register("autowired_deps")
 def q_autowired_deps(spark, sf_dir):
-    return X.flat_deps(P.parsed(spark, sf_dir)).select("path", "ord", "dep")
+    return X.flat_deps(_records(spark, sf_dir)).select("path", "ord", "dep")
 
 
 @register("methods")
