@@ -1,9 +1,9 @@
 """B2-B11: structure extraction as relational rules over the token table.
 
-Pipeline (one shuffle in total, on the file key):
+Pipeline (the text is shuffled once, on the file key; after it only what members and files come to):
 
-    files --key/repartition--> token_table (windows) --groupBy(file, region, seg)-->
-    segments --groupBy(file)--> per-file record --join(file key, co-partitioned)--> parsed
+    files --key/repartition--> token_table (Arrow running sums) --groupBy(file, region, seg)-->
+    segments --groupBy(file)--> per-file record --join(file key)--> parsed
 
 ``parsed`` has one row per input file:
     path, class_name, stereotype, autowired_deps ARRAY<STRING>,
@@ -44,7 +44,11 @@ def _nz(c: Column) -> Column:
 
 
 def segments(tokens: DataFrame) -> DataFrame:
-    """One row per (file, region, member segment) with the facts the rules need."""
+    """One row per (file, region, member segment) with the facts the rules need.
+
+    Inside a member's own braces only an opening paren can be a fact (a call); of the other tokens there its edges count.
+    """
+    tokens = tokens.where((F.col("bd") <= 1) | (F.col("tok") == "(") | F.col("edge"))
     tok, bd, pd = F.col("tok"), F.col("bd"), F.col("pd")
     p1, p2, p3, n1, n2 = (F.col(c) for c in ("p1", "p2", "p3", "n1", "n2"))
     ident = _ident(tok)
@@ -101,7 +105,7 @@ def segments(tokens: DataFrame) -> DataFrame:
         F.collect_list(F.when(top_ann, F.struct(F.col("pos"), n1.alias("name")))).alias("stereo_cands"),
         # member-level facts
         F.max(F.when(body, F.col("rname"))).alias("rname"),
-        F.count_if(body).alias("n_body"),
+        F.max(body).alias("has_body"),
         F.min(when_body(F.lit(True), F.col("off"))).alias("first_off"),
         F.max(when_body(F.lit(True), end)).alias("last_end"),
         F.max(when_body(F.lit(True), F.struct(F.col("pos"), tok.alias("t")))).alias("last_tok"),
@@ -125,7 +129,7 @@ def _file_records(segs: DataFrame) -> DataFrame:
     """Per-file aggregation of segments: class name, stereotype, deps, methods."""
     cand = F.col("cand")
     is_method = (
-        (F.col("n_body") > 0)
+        F.coalesce(F.col("has_body"), F.lit(False))
         & cand.isNotNull()
         & ~F.coalesce(F.col("has_kw"), F.lit(False))
         & (F.col("eq_pos").isNull() | (cand["pos"] < F.col("eq_pos")))
@@ -135,7 +139,7 @@ def _file_records(segs: DataFrame) -> DataFrame:
     endpoint_lit = F.array_min(F.filter("lits", lambda x: x["owner"] == F.col("http")["pos"]))["lit"]
     decl = F.array_min(F.filter("decls", lambda x: x["pos"] > F.col("type_start")["pos"]))
     is_field = (
-        (F.col("n_body") > 0)
+        F.coalesce(F.col("has_body"), F.lit(False))
         & ~is_method
         & ~F.coalesce(F.col("has_kw"), F.lit(False))
         & F.coalesce(F.col("autowired"), F.lit(False))

@@ -95,13 +95,15 @@ def corpus_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     n = _row_count(supplier)
     n_parts = _row_count(part)
+    # the texts are rendered behind the shuffle: a small table is read by few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return part.select(
         F.col("p_partkey").alias("p"),
         F.col("p_name").alias("pname"),
         (F.col("p_partkey") % n).alias("s"),
         n.alias("n_sup"),
         n_parts.alias("n_part"),
-    ).withColumn("block", F.expr(METHOD_BLOCK_SQL))
+    ).repartition(tasks, "s").withColumn("block", F.expr(METHOD_BLOCK_SQL))
 
 
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
