@@ -59,3 +59,13 @@ def test_parse_sorts_no_token_rows(spark):
     plan = out.getvalue()
     assert "Window" not in plan
     assert "pos#" not in "".join(line for line in plan.splitlines() if " Sort " in line)
+
+
+def test_rows_of_one_key_are_one_stream(spark):
+    files = spark.createDataFrame([FILES[4], FILES[4], FILES[0]], "path string, content string")
+    keyed = TK.key_files(files, 1)
+    got = {r["path"]: (r["n_lparen"], r["n_lbrace"], r["max_depth"]) for r in TK.token_digest(TK.token_table(keyed), keyed).collect()}
+    assert got == {"/a/Two.java": (8, 8, 4), "/a/A.java": (7, 3, 2)}
+    twice = TK.token_table(keyed).where("tok = 'k'").select("pos", "p1", "n1").collect()
+    assert sorted((r["p1"], r["n1"]) for r in twice) == [("k", "("), ("{", "k")]
+    assert len({r["pos"] for r in twice}) == 1
