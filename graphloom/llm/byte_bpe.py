@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from graphloom.llm.bpe import Fits, Merges, quiet_collector, splitter
+from graphloom.llm.stores import kept
 
-#: Entries kept by a worker, some 200 MB together when full.
+#: Entries kept by a worker, some 300 MB together when full (``stores.release`` drops them).
 KEPT_ARCS, KEPT_PIECES = 600_000, 500_000
 
 
@@ -56,14 +56,17 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.states = [(-1, (((), 0),))]
+        #: A state is flat: the last token emitted, then pending tokens and node of each path.
+        self.states = [(-1, (), 0)]
         self.number = {self.states[0]: 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: The state that an arc leads to, and its tokens among ``emits``; ~ of the state where it has some.
+        self.arcs: dict[int, int] = {}
+        self.emits: dict[int, tuple[int, ...]] = {}
 
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, paths = self.states[state]
+        last, *paths = self.states[state]
         alive, whole, step, inner, ends = [], None, self.trie.get, self.inner, self.token
-        for pending, node in paths:
+        for pending, node in zip(paths[::2], paths[1::2]):
             child = step(node << 8 | byte)
             if child is None:
                 continue
@@ -86,13 +89,12 @@ class Transducer:
         out = whole[:shared]
         last = out[-1] if out else last
         alive.append((whole, 0))
-        alive = tuple([(p[shared:], n) for p, n in alive]) if shared else tuple(alive)
-        for p, _ in alive:
-            if not p:
-                break
-        else:
-            last = -1
-        key = (last, alive)
+        flat = [last]
+        for p, n in alive:
+            flat += (p[shared:], n)
+        if () not in flat[1::2]:
+            flat[0] = -1
+        key = tuple(flat)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
@@ -110,13 +112,17 @@ class Transducer:
         state, arcs = 0, self.arcs
         for byte in piece:
             key = state << 8 | byte
-            arc = arcs.get(key)
-            if arc is None:
-                arc = arcs[key] = self._arc(state, byte)
-            state, emitted = arc
-            if emitted:
-                out += emitted
-        out += next(p for p, node in self.states[state][1] if node == 0)
+            state = arcs.get(key)
+            if state is None:
+                state, emitted = self._arc(key >> 8, byte)
+                if emitted:
+                    state = ~state
+                    self.emits[key] = emitted
+                arcs[key] = state
+            if state < 0:
+                state = ~state
+                out += self.emits[key]
+        out += self.states[state][-2]
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
@@ -208,7 +214,7 @@ class Decoder:
         return "".join(out)
 
 
-@lru_cache(2)
+@kept
 def transducer(path: str, pattern: str) -> tuple[Transducer, Decoder]:
     tool = Transducer(path, pattern)
     quiet_collector()

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import ALNUM, lower_table, slices, text_buffer, words
+from graphloom.llm.stores import release
 
 #: Bytes of document text in one shard, and of test text in one block that a task holds at a time.
 SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
@@ -176,6 +177,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str =
     spans = pa.list_(pa.struct([("item_id", pa.string()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for i, j in slices(offsets, shard_bytes):
@@ -218,6 +220,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffer(batch.column(at))
             for i, j in slices(offsets, SHARD_BYTES):

@@ -11,21 +11,21 @@ alone differ by more than the threshold allows are dropped; only the rest is com
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.arrow import NOT_SPACE, mix, slices, text_buffer, words
+from graphloom.llm.arrow import NOT_SPACE, mix, short_batches, slices, text_buffer, words
 from graphloom.llm.components import components, written
+from graphloom.llm.stores import release
 
 #: Cells of the count sketch that orders shingles by frequency; a fixed size, and only the order depends on it.
 SKETCH_BITS = 18
-SLICE_BYTES = 2 << 20
-#: Pairs of sets that a worker holds at a time.
+SLICE_BYTES = 1 << 19
+#: Pairs of sets that a worker holds at a time: a row of a pair carries two whole sets.
 PAIR_ROWS = 256
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -72,6 +72,7 @@ def digests(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _each(batches: Iterator[pa.RecordBatch], size: int):
+    release()
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         for i, j in slices(offsets, SLICE_BYTES):
@@ -139,18 +140,6 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-@contextmanager
-def _short_batches(spark: SparkSession, rows: int = PAIR_ROWS):
-    """While this holds, Arrow batches have at most so many rows: a row of a pair carries two whole sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def sieve(pairs: DataFrame, classes: DataFrame, frequency: np.ndarray, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose listed shingles leave the threshold within reach.
 
@@ -160,6 +149,7 @@ def sieve(pairs: DataFrame, classes: DataFrame, frequency: np.ndarray, num: int,
     shared = pairs.sparkSession.sparkContext.broadcast(frequency)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rarity = shared.value
         for batch in batches:
             na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
@@ -208,6 +198,7 @@ def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, same) of each pair: sizes and overlap, element by element."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             (xv, xb), (yv, yb) = _flat(batch.column(2)), _flat(batch.column(3))
             same = np.zeros(batch.num_rows, np.int64)
@@ -241,7 +232,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
     first = _pairs(lists.alias("x").join(pivots.alias("y"), ["h", "band"]).where(_reaches(num, den) & (F.col("x.cid") != F.col("y.cid"))))
     tried = written(first, "first")
     spark = docs.sparkSession
-    with _short_batches(spark):
+    with short_batches(spark, PAIR_ROWS):
         first = written(sieve(tried, classes, frequency, num, den), "asked")
 
     meets = F.col("same") * den >= (F.col("na") + F.col("nb") - F.col("same")) * num
@@ -252,7 +243,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
         return ids.join(cids, "cid", "left_semi")
 
     sets = sets_of(docs, size, needed(first), text_col)
-    with _short_batches(spark):
+    with short_batches(spark, PAIR_ROWS):
         known = written(measure(first, sets), "known")
     links = known.where(meets).select("a", "b")
     parts = components(links)
@@ -272,10 +263,10 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col:
     most = (F.col("na") + F.col("nb")) * (den - num)  # a difference d links when d * (den + num) is at most this
     told = told.withColumn("answer", F.when(F.col("pa") == F.col("pb"), F.when((F.col("oa") + F.col("ob")) * (den + num) <= most, F.lit(1)).when(F.abs(F.col("oa") - F.col("ob")) * (den + num) > most, F.lit(0))))
     told = written(told.select("a", "b", "answer"), "second")
-    with _short_batches(spark):
+    with short_batches(spark, PAIR_ROWS):
         open_ = written(sieve(told.where("answer is null").select("a", "b"), classes, frequency, num, den), "open")
     sets = sets_of(docs, size, needed(open_), text_col)
-    with _short_batches(spark):
+    with short_batches(spark, PAIR_ROWS):
         late = measure(open_, sets).where(meets).select("a", "b")
         links = written(links.union(told.where("answer = 1").select("a", "b")).union(late), "links")
     parts = components(links)
@@ -327,6 +318,7 @@ def _tagged(docs: DataFrame, size: int, text_col: str, names: tuple[str, str, st
     schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in names]])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             data, offsets = text_buffer(batch.column(at))
             for i, j in slices(offsets, SLICE_BYTES):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import slices, text_buffer
+from graphloom.llm.stores import release
 
 CELLS = 1 << 16
 #: Labelled rows per language that the distributions are learned from, by hash of the id (about so many).
@@ -129,6 +130,7 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     kept = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < limit).select(F.col(lang_col).cast("string"), text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -176,6 +178,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind, shared = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in batches:
             for i, j, data, offsets in _batches(batch, 1):
@@ -190,6 +193,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in batches:
             for i, j, data, offsets in _batches(batch, at):

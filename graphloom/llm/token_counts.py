@@ -11,7 +11,6 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from graphloom.llm.bpe import BLANK, ODD, Fits, Merges, quiet_collector, splitter
+from graphloom.llm.stores import kept
 
 #: Distinct pieces whose tables a worker keeps in a store; a full store goes back in line, and what is met again moves to
 #: the new one, so that common pieces stay.  No result depends on it.
@@ -173,7 +173,7 @@ def tokens_within(counts: np.ndarray, budget: int) -> int:
     return int(fit[-1]) + 1 if len(fit) else 0
 
 
-@lru_cache(2)
+@kept
 def counter(path: str) -> PrefixCounter:
     quiet_collector()
     return PrefixCounter(path)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import mask
+from graphloom.llm.stores import release
 from graphloom.session import scratch_path
 
 #: Labelled rows that may be learned from, about so many of either label, by hash of the id.
@@ -214,6 +215,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 
 def _keys(batches: Iterator[pa.RecordBatch], wanted: set | None) -> Iterator[pa.RecordBatch]:
+    release()
     counts: Counter = Counter()
     for batch in batches:
         for value in batch.column(0):
@@ -241,6 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexicon = Lexicon({k: weights[k] for _, k in kept})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             x = [features(v.as_py(), lexicon) for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2), batch.column(3)], ["x", "toxic", "part", "id"])
@@ -264,6 +267,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind, shared = docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in batches:
             score = np.concatenate([np.zeros(0), *[own.score(batch.column(1).slice(i, 256).to_pylist()) for i in range(0, batch.num_rows, 256)]])
@@ -277,6 +281,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
