@@ -56,15 +56,20 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        #: A state is flat: the last token emitted, then pending tokens and node of each path.
-        self.states = [(-1, (), 0)]
-        self.number = {self.states[0]: 0}
+        #: A state is held flat: the last token emitted, then pending tokens and node of each path.
+        self.flat = [(-1, (), 0)]
+        self.number = {self.flat[0]: 0}
         #: The state that an arc leads to, and its tokens among ``emits``; ~ of the state where it has some.
         self.arcs: dict[int, int] = {}
         self.emits: dict[int, tuple[int, ...]] = {}
 
+    @property
+    def states(self) -> list[tuple[int, tuple[tuple[tuple[int, ...], int], ...]]]:
+        """The states met so far: the last token emitted, and (pending tokens, node) of each path."""
+        return [(last, tuple(zip(paths[::2], paths[1::2]))) for last, *paths in self.flat]
+
     def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, *paths = self.states[state]
+        last, *paths = self.flat[state]
         alive, whole, step, inner, ends = [], None, self.trie.get, self.inner, self.token
         for pending, node in zip(paths[::2], paths[1::2]):
             child = step(node << 8 | byte)
@@ -97,8 +102,8 @@ class Transducer:
         key = tuple(flat)
         number = self.number.get(key)
         if number is None:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
+            number = self.number[key] = len(self.flat)
+            self.flat.append(key)
         return number, out
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
@@ -122,7 +127,7 @@ class Transducer:
             if state < 0:
                 state = ~state
                 out += self.emits[key]
-        out += self.states[state][-2]
+        out += self.flat[state][-2]
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:

@@ -30,7 +30,7 @@ def test_an_operator_keeps_its_own_store(encoder):
 
 def test_states_of_the_transducer_are_flat(encoder):
     encoder.encode("zyxwvut qqqqjjjj größer unwahrscheinlichkeiten")
-    assert len(encoder.states) > 10
-    for last, *paths in encoder.states:
+    assert len(encoder.flat) > 10
+    for last, *paths in encoder.flat:
         assert isinstance(last, int) and len(paths) % 2 == 0 and paths[-1] == 0
     assert all(isinstance(arc, int) for arc in encoder.arcs.values())
